@@ -12,6 +12,7 @@ from entry_queries.roles import table
 from marketlens import fixed_values as fv
 from marketlens.functions import markup, numbers, text
 from marketlens.operators import keywords, pages, products, reviews, summary
+from marketlens.plans import review_report
 from marketlens.sources import writers
 from marketlens.sources.readers import spread
 
@@ -181,11 +182,10 @@ def status_top5(spark, sf_dir):
 
 
 def _summary(spark, sf_dir):
-    return summary.review_summary(
-        _enriched(spark, sf_dir),
-        roles.crawl_log(spark, sf_dir),
-        reviews.drop_counts(_tagged(spark, sf_dir)),
+    staged = review_report.staged_reviews(
+        roles.raw_reviews(spark, sf_dir), roles.LETTER_SHARE, roles.LEXICON
     )
+    return review_report.summary_of(staged, roles.crawl_log(spark, sf_dir))
 
 
 @query

@@ -72,18 +72,23 @@ def keep_where(table: DataFrame, condition: Column) -> DataFrame:
     return table.select("*", once).drop("_keep")
 
 
-def kept_reviews(tagged: DataFrame, stopwords: Sequence[str] = fv.STOPWORDS) -> DataFrame:
-    """The 13 columns of the cleaned review table, without the dropped rows."""
+def measure_reviews(tagged: DataFrame, stopwords: Sequence[str] = fv.STOPWORDS) -> DataFrame:
+    """Add text length, word count and helpful count to repaired reviews."""
     body = F.col("review_text")
     words = F.size(text.tokens_of_repaired(body, stopwords))
-    kept = keep_where(tagged, F.col("drop_reason").isNull())
-    return kept.withColumns(
+    return tagged.withColumns(
         {
             "review_char_length": F.length(body).cast("bigint"),
             "review_word_count": words.cast("bigint"),
             "helpful_count": numbers.first_integer(F.col("helpful_text")),
         }
-    ).select(*fv.CLEAN_REVIEW_COLUMNS)
+    )
+
+
+def kept_reviews(tagged: DataFrame, stopwords: Sequence[str] = fv.STOPWORDS) -> DataFrame:
+    """The 13 columns of the cleaned review table, without the dropped rows."""
+    kept = keep_where(tagged, F.col("drop_reason").isNull())
+    return measure_reviews(kept, stopwords).select(*fv.CLEAN_REVIEW_COLUMNS)
 
 
 def clean_reviews(

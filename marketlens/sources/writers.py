@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,3 +43,30 @@ def to_json_text(table: DataFrame, pretty: bool = False) -> DataFrame:
 def write_json_document(one_row: DataFrame, path: str, pretty: bool = True) -> None:
     """Write a one-row summary as a text file that holds one JSON document."""
     to_json_text(one_row, pretty).write.mode("overwrite").text(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``, for tables in between.
+
+    Only a local session without that setting gets a folder of its own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="marketlens-")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
+def staged(table: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write a table to Parquet and read it back, so that what follows starts from files.
+
+    Several statistics over one costly table then compute it once, read only the columns
+    they need, and survive lost executors without starting over.
+    """
+    spark = table.sparkSession
+    path = f"{folder or shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
