@@ -21,12 +21,12 @@ WITH base AS (
          WHEN d.source = 'src5' THEN '' ELSE {_TIDY} END AS review_text,
     d.n_chars % 50 AS helpful, coalesce(l.toxic = 0, false) AS verified
   FROM documents d LEFT JOIN labels l USING (doc_id)
-), tagged AS (
+), tagged AS MATERIALIZED (
   SELECT *, CASE WHEN review_text = '' THEN 'empty_review_text'
     WHEN review_text LIKE '%Ø%'
       OR coalesce({_SHARE.format("(review_title || ' ' || review_text)")}, 0) < 0.9
       THEN 'garbled_or_non_english' END AS drop_reason FROM base
-), kept AS (
+), kept AS MATERIALIZED (
   SELECT *, length(review_text) AS chars,
     CASE WHEN rating >= 4 THEN 'positive' WHEN rating <= 2 THEN 'negative' END AS polarity,
     list_filter(regexp_extract_all(lower(review_text), '[a-z0-9]{{3,}}'),

@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 from marketlens import fixed_values as fv
 from marketlens.functions import numbers
 from marketlens.operators import ranking
-from marketlens.operators.quantiles import exact_quantiles
-
-_MAX_BROADCAST_BRANDS = 1_000
+from marketlens.operators.quantiles import MAX_BROADCAST_GROUPS, exact_quantiles
 
 
 def with_price(products: DataFrame) -> DataFrame:
@@ -178,9 +176,12 @@ def top_brands(priced: DataFrame, k: int = 10, brand: str = "Brand") -> DataFram
 def products_of_top_brands(priced: DataFrame, k: int = 5, brand: str = "Brand") -> DataFrame:
     """Products of the ``k`` largest brands. The ``k`` names are broadcast while few."""
     names = top_brands(priced, k, brand).select(brand)
-    if k <= _MAX_BROADCAST_BRANDS:
-        names = F.broadcast(names)
-    return priced.join(names, brand, "left_semi")
+    return priced.join(_if_few(names, k), brand, "left_semi")
+
+
+def _if_few(per_brand: DataFrame, k: int) -> DataFrame:
+    """Broadcast a table of one row for each of ``k`` brands, unless ``k`` is large."""
+    return F.broadcast(per_brand) if k <= MAX_BROADCAST_GROUPS else per_brand
 
 
 def brand_box(
@@ -192,7 +193,7 @@ def brand_box(
     interquartile ranges of the box and not inside it.
     """
     merged = _merged_prices(priced, k, brand, value)
-    box = _quartiles(merged, brand, value)
+    box = _if_few(_quartiles(merged, k, brand, value), k)
     v, low, high = F.col(value), F.col("low_fence"), F.col("high_fence")
     inside = v.between(low, high)
     return (
@@ -223,9 +224,9 @@ def brand_outliers(
 ) -> DataFrame:
     """Values outside the whiskers with their row counts, for the ``k`` largest brands."""
     merged = _merged_prices(priced, k, brand, value)
-    box = _quartiles(merged, brand, value).select(brand, "low_fence", "high_fence")
+    box = _quartiles(merged, k, brand, value).select(brand, "low_fence", "high_fence")
     outside = ~F.col(value).between(F.col("low_fence"), F.col("high_fence"))
-    return merged.join(box, brand).filter(outside).select(brand, value, "n")
+    return merged.join(_if_few(box, k), brand).filter(outside).select(brand, value, "n")
 
 
 def _merged_prices(priced: DataFrame, k: int, brand: str, value: str) -> DataFrame:
@@ -233,10 +234,13 @@ def _merged_prices(priced: DataFrame, k: int, brand: str, value: str) -> DataFra
     return ranking.counts(chosen, brand, value)
 
 
-def _quartiles(merged: DataFrame, brand: str, value: str) -> DataFrame:
+def _quartiles(merged: DataFrame, k: int, brand: str, value: str) -> DataFrame:
     q = F.col("quantiles")
     reach = (q[2] - q[0]) * 1.5
-    return exact_quantiles(merged, brand, value, "n", (0.25, 0.5, 0.75)).select(
+    quartiles = exact_quantiles(
+        merged, brand, value, "n", (0.25, 0.5, 0.75), groups_at_most=k
+    )
+    return quartiles.select(
         brand,
         "rows",
         q[0].alias("q1"),

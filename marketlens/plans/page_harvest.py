@@ -18,15 +18,27 @@ def wanted_items(ranking_pages: DataFrame, method: str = "attribute_then_links")
 def harvest(
     ranking_pages: DataFrame, item_pages: DataFrame, method: str = "attribute_then_links"
 ) -> DataFrame:
-    """The detail table of all items on the ranking pages.
+    """The detail table of all items on the ranking pages, one row per item.
 
-    An item whose page is not stored keeps a row with its id and the failure status. The
-    join is on the URL, one page per item, and Spark picks its kind by size.
+    Fields are read in the scan of the item pages, so the join moves fields instead of
+    pages. A page stored several times is first brought to one row, a readable copy before
+    a blocked one, and copies are merged in each task before they meet. An item whose page
+    is not stored keeps a row with its id and the failure status.
     """
     items = wanted_items(ranking_pages, method)
-    stored = item_pages.select(F.col("url").alias("detail_url"), "html")
-    fetched = items.join(stored, "detail_url", "left")
-    return pages.product_details(fetched, F.col("ASIN"))
+    urls = item_pages.select(F.col("url").alias("ASIN"), "html")
+    read = pages.product_details(urls, F.col("ASIN")).withColumnRenamed("ASIN", "detail_url")
+    fields = [c for c in read.columns if c not in ("detail_url", "Status")]
+    preference = F.when(F.col("Status") == fv.STATUS_OK, 0).when(
+        F.col("Status") == fv.STATUS_PARSE_ERROR, 1
+    ).otherwise(2)
+    one_each = read.groupBy("detail_url").agg(
+        F.min(F.struct(preference, *fields, "Status")).alias("page")
+    )
+    status = F.coalesce(F.col("page.Status"), F.lit(fv.STATUS_NOT_FETCHED))
+    return items.join(one_each, "detail_url", "left").select(
+        "ASIN", *(F.col(f"page.{name}").alias(name) for name in fields), status.alias("Status")
+    )
 
 
 def failures(details: DataFrame) -> DataFrame:
