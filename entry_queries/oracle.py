@@ -6,6 +6,8 @@ from marketlens import fixed_values as fv
 
 _STOP = ", ".join(f"'{w}'" for w in fv.STOPWORDS)
 
+# Rounding goes through printf, which starts from the exact stored number.
+
 # The text a repaired review must have, straight from the undamaged document.
 _TIDY = r"trim(regexp_replace(d.text, '\s+', ' ', 'g'))"
 _SHARE = (
@@ -47,20 +49,20 @@ WITH base AS (
 
 _STATS = """
   SELECT count(*) AS total_reviews, count(DISTINCT "ASIN") AS unique_asins,
-    round_even(count(*)::DOUBLE / count(DISTINCT "ASIN"), 2) AS avg_reviews_per_asin,
-    round_even(avg(verified::INT), 4) AS verified_purchase_rate,
-    round_even(sum(chars)::DOUBLE / count(*), 1) AS avg_review_char_length,
-    round_even(sum(len(tokens))::DOUBLE / count(*), 1) AS avg_review_word_count
+    printf('%.2f', count(*)::DOUBLE / count(DISTINCT "ASIN"))::DOUBLE AS avg_reviews_per_asin,
+    printf('%.4f', avg(verified::INT))::DOUBLE AS verified_purchase_rate,
+    printf('%.1f', sum(chars)::DOUBLE / count(*))::DOUBLE AS avg_review_char_length,
+    printf('%.1f', sum(len(tokens))::DOUBLE / count(*))::DOUBLE AS avg_review_word_count
   FROM kept
 """
 _LENGTHS = """
-  SELECT rating AS review_rating_value, round_even(sum(chars)::DOUBLE / count(*), 1) AS avg_length,
+  SELECT rating AS review_rating_value, printf('%.1f', sum(chars)::DOUBLE / count(*))::DOUBLE AS avg_length,
     count(*) AS n FROM kept WHERE rating IS NOT NULL GROUP BY rating
 """
 _COVERAGE = """
   SELECT count(*) AS total_asins_attempted, count_if(event_type = 'error') AS captcha_rows,
     (sum(trunc(value)) FILTER (WHERE event_type <> 'click'))::BIGINT AS review_count_sum,
-    round_even(count_if(event_type = 'error')::DOUBLE / count(*), 4) AS captcha_rate
+    printf('%.4f', count_if(event_type = 'error')::DOUBLE / count(*))::DOUBLE AS captcha_rate
   FROM events
 """
 _TRACES = """
@@ -309,6 +311,12 @@ FROM k, unnest(range(1, len(ids) + 1)) AS r(i)""",
     "page_ids_distinct": rf"""{_PAGES} SELECT DISTINCT id AS "ASIN" FROM (
   SELECT unnest(list_transform(links, lambda x: regexp_extract(x, '/([a-z]{{3}})', 1))) AS id FROM l)
 WHERE id <> ''""",
+    "page_ids_segments": rf"""{_PAGES}, a AS (SELECT page_id, list_filter(
+  flatten(list_transform(links, lambda x: string_split(x, '/'))),
+  lambda x: length(x) = 5 AND regexp_matches(x, '^[\p{{L}}\p{{Nd}}]')) AS ids FROM l),
+k AS (SELECT page_id, {_UNIQUE.format("ids")} AS ids FROM a)
+SELECT page_id, i AS position, ids[i] AS "ASIN", 'https://www.amazon.com/dp/' || ids[i] AS detail_url
+FROM k, unnest(range(1, len(ids) + 1)) AS r(i)""",
     "page_fields": f"""{_PAGES} SELECT page_id, {_text("title")} AS title, {_text("h1")} AS heading,
   {_text('div class="ad"')} AS ad, {_text("footer")} AS footer, {_text("ul")} AS list,
   'N/A' AS aside FROM l""",
@@ -327,6 +335,9 @@ SELECT {_ITEM} AS "ASIN",
   CASE WHEN NOT blocked AND p_size <> 4 THEN '1' || p_partkey END AS "BSR",
   CASE WHEN blocked THEN 'Failed to Fetch Detail' WHEN p_size = 4 THEN 'Parse Error'
     ELSE 'Success' END AS "Status" FROM d""",
+    "item_status_counts": """SELECT CASE WHEN p_size IN (1, 2) THEN 'Failed to Fetch Detail'
+  WHEN p_size = 4 THEN 'Parse Error' ELSE 'Success' END AS "Status", count(*) AS n
+FROM part GROUP BY 1""",
     "item_details_quick": f"""SELECT {_ITEM} AS "ASIN", {_TITLE.format("")} AS "Title",
   '$' || {_PRICE} || 'now' AS "Price", {_STARS} AS "Rating", p_size || ' ratings' AS "Reviews",
   'https://www.amazon.com/dp/' || {_ITEM} AS "URL" FROM part WHERE p_size <> 2""",

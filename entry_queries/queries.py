@@ -363,6 +363,13 @@ def page_ids_distinct(spark, sf_dir):
     return pages.distinct_ids(ids)
 
 
+@query
+def page_ids_segments(spark, sf_dir):
+    return pages.page_item_ids(
+        spread(table(spark, sf_dir, "pages")), "segments", keep=["page_id"], length=5, marks=("/",)
+    )
+
+
 @query
 def page_fields(spark, sf_dir):
     tag = markup.open_tag
@@ -380,7 +387,7 @@ def page_fields(spark, sf_dir):
 @query
 def page_status(spark, sf_dir):
     stored = spread(table(spark, sf_dir, "pages"))
-    blocked = pages.is_blocked(F.col("html"), ("lang=\"DE\"".lower(), "nicht aulich"))
+    blocked = pages.is_blocked(F.col("html"), ('lang="de"', "nicht aulich"))
     return stored.select(
         "page_id",
         F.when(blocked, fv.STATUS_NOT_FETCHED).otherwise(fv.STATUS_OK).alias("status"),
@@ -399,6 +406,12 @@ def item_details(spark, sf_dir):
     return pages.product_details(roles.item_pages(spark, sf_dir), F.col("item"))
 
 
+@query
+def item_status_counts(spark, sf_dir):
+    details = pages.product_details(roles.item_pages(spark, sf_dir), F.col("item"))
+    return pages.status_counts(details)
+
+
 @query
 def item_details_quick(spark, sf_dir):
     return pages.without_errors(

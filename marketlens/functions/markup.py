@@ -144,16 +144,23 @@ def element_markup(page: Column, start_tag: str) -> Column:
     )
 
 
+# An attribute value as it stands in the page, with its quotes if it has any.
+_RAW_VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+_UNQUOTE = """v -> CASE WHEN v RLIKE '^["\\']' THEN substring(v, 2, length(v) - 2) ELSE v END"""
+
+
+def _all_values(page: Column, pattern: str) -> Column:
+    found = F.regexp_extract_all(page, F.lit(pattern), F.lit(1))
+    bare = F.call_function("transform", found, F.expr(_UNQUOTE))
+    return F.call_function("transform", bare, F.expr(_UNESCAPE))
+
+
 def links(page: Column) -> Column:
     """Every ``href`` of an ``a`` element, in page order."""
-    found = F.regexp_extract_all(
-        page, F.lit(r"""<(?i:a)\s(?:[^>]*?\s)?(?i:href)\s*=\s*["']([^"'>]*)["']"""), F.lit(1)
-    )
-    return F.call_function("transform", found, F.expr(_UNESCAPE))
+    return _all_values(page, rf"<(?i:a)\s(?:[^>]*?\s)?(?i:href)\s*=\s*{_RAW_VALUE}")
 
 
 def attribute_values(page: Column, attribute: str) -> Column:
-    """Every quoted value of ``attribute`` on any element, in page order."""
-    pattern = rf"""<[a-zA-Z](?:[^>]*?\s)(?i:{re.escape(attribute)})\s*=\s*["']([^"'>]*)["']"""
-    found = F.regexp_extract_all(page, F.lit(pattern), F.lit(1))
-    return F.call_function("transform", found, F.expr(_UNESCAPE))
+    """Every value of ``attribute`` on any element, in page order."""
+    name = re.escape(attribute)
+    return _all_values(page, rf"<[a-zA-Z](?:[^>]*?\s)(?i:{name})\s*=\s*{_RAW_VALUE}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from marketlens.operators import ranking
 # The category word that all keywords share; it says nothing about a bullet.
 GENERIC_WORDS: tuple[str, ...] = ("case",)
 STEM_LENGTH = 6
+KEYWORDS_PER_PASS = 200
 
 
 def _words(keyword: str) -> list[str]:
@@ -42,12 +44,21 @@ def coverage(title: Column, keyword: str) -> Column:
     return F.when(in_order, F.lit("Yes")).when(all_there, F.lit("Partial")).otherwise(F.lit("No"))
 
 
-def _per_keyword(keywords: Sequence[str], make) -> Column:
+def _per_keyword(
+    listings: DataFrame, keep: Sequence[str], keywords: Sequence[str], make
+) -> DataFrame:
+    """One row per listing and keyword, the keywords being constants of the scan stage.
+
+    A list too long for one expression is worked off in several passes over the listings.
+    """
     if not keywords:
         raise ValueError("at least one keyword is needed")
-    return F.inline(
-        F.array(*(F.struct(F.lit(k).alias("keyword"), *make(k)) for k in keywords))
-    )
+    parts = []
+    for first in range(0, len(keywords), KEYWORDS_PER_PASS):
+        some = keywords[first : first + KEYWORDS_PER_PASS]
+        cells = F.array(*(F.struct(F.lit(k).alias("keyword"), *make(k)) for k in some))
+        parts.append(listings.select(*keep, F.inline(cells)))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def keyword_coverage(
@@ -56,11 +67,10 @@ def keyword_coverage(
 ) -> DataFrame:
     """Coverage of every keyword by every title: ``keyword`` and ``coverage``.
 
-    The keywords are a short curated list, so they are constants of the scan stage and
-    nothing is joined or shuffled.
+    Nothing is joined or shuffled.
     """
-    return listings.select(
-        *keep, _per_keyword(keywords, lambda k: [coverage(F.col(title), k).alias("coverage")])
+    return _per_keyword(
+        listings, keep, keywords, lambda k: [coverage(F.col(title), k).alias("coverage")]
     )
 
 
@@ -109,7 +119,7 @@ def keyword_placement(
             ).alias("placement"),
         ]
 
-    return listings.select(*keep, _per_keyword(keywords, places))
+    return _per_keyword(listings, keep, keywords, places)
 
 
 def placement_counts(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from marketlens import fixed_values as fv
 from marketlens.functions import markup
+from marketlens.operators import ranking
 
 # Letters and digits as Python's isalpha() and isdigit() see them.
 _ALNUM_START = r"^[\p{L}\p{Nd}²³¹⁰⁴-⁹₀-₉]"
@@ -34,9 +35,11 @@ def item_links(links: Column, marks: Sequence[str] = fv.ITEM_LINK_MARKS) -> Colu
     return F.filter(links, wanted)
 
 
-def ids_from_segments(links: Column, length: int = fv.ID_LENGTH) -> Column:
+def ids_from_segments(
+    links: Column, length: int = fv.ID_LENGTH, marks: Sequence[str] = fv.ITEM_LINK_MARKS
+) -> Column:
     """Path segments of item links with the length of an id and a letter or digit first."""
-    segments = F.flatten(F.transform(item_links(links), lambda link: F.split(link, "/")))
+    segments = F.flatten(F.transform(item_links(links, marks), lambda link: F.split(link, "/")))
     fit = F.filter(segments, lambda s: (F.length(s) == length) & s.rlike(_ALNUM_START))
     return F.array_distinct(fit)
 
@@ -205,7 +208,7 @@ def price_text(page: Column) -> Column:
 
 _RANK_SPAN = rf"<(?i:span)\b[^>]*>{fv.RANK_LABEL}</(?i:span)\s*>"
 _RANK_CELL = (
-    rf"<(?i:td)\b[^>]*>(?:<[a-zA-Z][^>]*>)*+[^<]*{fv.RANK_LABEL}[^<]*(?:</[^>]*>)*?</(?i:td)\s*>"
+    rf"<(?i:td)\b[^>]*>(?:<[a-zA-Z][^>]*>){{0,50}}+[^<]*{fv.RANK_LABEL}[^<]*(?:</[^>]*>){{0,50}}?</(?i:td)\s*>"
 )
 # The next start tag after the label, then its content up to the matching end tag.
 _AFTER_LABEL = rf"{_RANK_SPAN}(?>(?s:.*?)<([a-zA-Z][a-zA-Z0-9]*)\b[^>]*>)((?s:.*?))</(?i:\1)\s*>"
@@ -319,6 +322,11 @@ def quick_details(
     )
 
 
+def status_counts(details: DataFrame) -> DataFrame:
+    """Rows per status; those with the success status are the valid results."""
+    return ranking.counts(details, "Status")
+
+
 def without_errors(details: DataFrame) -> DataFrame:
     """Rows that were fetched, without the ``Error`` column."""
     return details.filter(F.col("Error").isNull()).drop("Error")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketlens import fixed_values as fv
 from marketlens.operators import reviews, summary
-from marketlens.sources import readers, writers
+from marketlens.sources import writers
 
 
 def staged_reviews(
@@ -23,7 +23,7 @@ def staged_reviews(
 
     This is the one pass over the texts; everything later reads columns of its result.
     """
-    tagged = reviews.tag_reviews(readers.spread(raw), threshold)
+    tagged = reviews.tag_reviews(raw, threshold)
     enriched = reviews.enrich_reviews(tagged, lexicon, stopwords)
     measured = reviews.measure_reviews(enriched, stopwords).withColumn(
         "review_word_count", F.size("tokens").cast("bigint")

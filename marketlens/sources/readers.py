@@ -47,7 +47,8 @@ def spread(table: DataFrame) -> DataFrame:
 
     A CSV file with line breaks in cells or a file of one row group is read by one task,
     which would then do all of the text work too. Large inputs have more splits than cores
-    and come back as they are, so they are never shuffled for this.
+    and come back as they are, so they are never shuffled for this. Only for tables straight
+    from files: counting the splits of anything with a shuffle in it would run the shuffle.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
     return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
@@ -55,7 +56,7 @@ def spread(table: DataFrame) -> DataFrame:
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     """Raw reviews; see ``REVIEW_COLUMNS`` for the columns that are used."""
-    return read_table(spark, path)
+    return spread(read_table(spark, path))
 
 
 def read_crawl_log(spark: SparkSession, path: str) -> DataFrame:
@@ -91,7 +92,7 @@ def read_products(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Stored pages: ``url`` and ``html``, one row each."""
-    return require_columns(spark.read.parquet(path), ("url", "html"))
+    return spread(require_columns(spark.read.parquet(path), ("url", "html")))
 
 
 def read_keywords(spark: SparkSession, path: str) -> DataFrame:

@@ -128,6 +128,14 @@ def test_coverage_edges(spark):
         keywords.keyword_coverage(table, [])
 
 
+def test_long_keyword_list(spark):
+    table = spark.createDataFrame([("word7 word450",), ("none",)], "title string")
+    words = [f"word{i}" for i in range(451)]
+    rows = keywords.keyword_coverage(table, words, keep=("title",)).collect()
+    assert len(rows) == 902
+    assert {r.keyword for r in rows if r.coverage == "Yes"} == {"word7", "word450"}
+
+
 def test_curated_table(curated):
     assert curated.count() == 30
     row = curated.first()

@@ -79,8 +79,9 @@ def test_links(value_of):
     page = (
         '<a href="/a?x=1&amp;y=2">1</a><A class=c HREF=\'/b\'>2</A><a name="n">3</a>'
         '<link href="/no"><abbr href="/no"></abbr><a data-href="/no" href="/c">4</a>'
+        '<a href=/d class=x>5</a><a href="">6</a><a href="/e>f">7</a>'
     )
-    assert value_of(markup.links, page) == ["/a?x=1&y=2", "/b", "/c"]
+    assert value_of(markup.links, page) == ["/a?x=1&y=2", "/b", "/c", "/d", "", "/e>f"]
 
 
 def test_ids_from_segments(value_of):
