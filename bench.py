@@ -16,7 +16,7 @@ HEADLINE = (
     "theme_polarity", "review_stats", "length_by_rating", "crawl_coverage", "status_top5",
     "review_summary", "product_filter", "price_histogram", "price_density", "value_density",
     "brand_top10", "brand_box_top5", "line_price_box", "price_band_share", "brand_share",
-    "page_links", "page_ids_fallback", "page_fields", "item_details", "item_details_quick",
+    "page_links", "page_ids_fallback", "page_fields", "item_details", "item_details_quick", "item_harvest",
     "keyword_coverage_totals", "keyword_placement",
 )
 

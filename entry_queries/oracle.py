@@ -222,6 +222,16 @@ _TITLE = "CASE WHEN p_size <> 3 THEN p_name || '& more' ELSE '{0}' END"
 _PRICE = "printf('%.2f', p_retailprice)"
 _STARS = "(p_size % 5 + 1)::VARCHAR || '.0 out of 5 stars'"
 
+_DETAILS = f"""SELECT {_ITEM} AS "ASIN",
+  CASE WHEN NOT blocked THEN {_TITLE.format("N/A")} END AS "Title",
+  CASE WHEN NOT blocked THEN CASE WHEN p_size = 4 THEN '$' ELSE '' END || {_PRICE} END AS "Price",
+  CASE WHEN NOT blocked THEN {_STARS} END AS "Rating",
+  CASE WHEN NOT blocked THEN p_size || ' ratings' END AS "Reviews",
+  CASE WHEN NOT blocked THEN p_brand END AS "Brand",
+  CASE WHEN NOT blocked AND p_size <> 4 THEN '1' || p_partkey END AS "BSR",
+  CASE WHEN blocked THEN 'Failed to Fetch Detail' WHEN p_size = 4 THEN 'Parse Error'
+    ELSE 'Success' END AS "Status" FROM (SELECT *, p_size IN (1, 2) AS blocked FROM part)"""
+
 ORACLE: dict[str, str] = {
     "mojibake_repair": rf"""SELECT doc_id, md5({_TIDY}) AS once_md5, md5({_TIDY}) AS twice_md5
 FROM documents d""",
@@ -325,16 +335,12 @@ FROM k, unnest(range(1, len(ids) + 1)) AS r(i)""",
 FROM pages""",
     "blocked_rate": """SELECT count(*) AS pages, count_if(contains(lower(html), 'nicht aulich'))
   AS blocked, round(avg(contains(lower(html), 'nicht aulich')::INT), 6) AS blocked_rate FROM pages""",
-    "item_details": f"""WITH d AS (SELECT *, p_size IN (1, 2) AS blocked FROM part)
-SELECT {_ITEM} AS "ASIN",
-  CASE WHEN NOT blocked THEN {_TITLE.format("N/A")} END AS "Title",
-  CASE WHEN NOT blocked THEN CASE WHEN p_size = 4 THEN '$' ELSE '' END || {_PRICE} END AS "Price",
-  CASE WHEN NOT blocked THEN {_STARS} END AS "Rating",
-  CASE WHEN NOT blocked THEN p_size || ' ratings' END AS "Reviews",
-  CASE WHEN NOT blocked THEN p_brand END AS "Brand",
-  CASE WHEN NOT blocked AND p_size <> 4 THEN '1' || p_partkey END AS "BSR",
-  CASE WHEN blocked THEN 'Failed to Fetch Detail' WHEN p_size = 4 THEN 'Parse Error'
-    ELSE 'Success' END AS "Status" FROM d""",
+    "item_details": _DETAILS,
+    "item_harvest": f"""WITH items AS (SELECT p_partkey AS key FROM part
+  UNION SELECT p_partkey + 1 FROM part), details AS ({_DETAILS})
+SELECT lpad(key::VARCHAR, 10, 'B') AS "ASIN", "Title", "Price", "Rating", "Reviews", "Brand", "BSR",
+  coalesce("Status", 'Failed to Fetch Detail') AS "Status"
+FROM items LEFT JOIN details ON lpad(key::VARCHAR, 10, 'B') = "ASIN" """,
     "item_status_counts": """SELECT CASE WHEN p_size IN (1, 2) THEN 'Failed to Fetch Detail'
   WHEN p_size = 4 THEN 'Parse Error' ELSE 'Success' END AS "Status", count(*) AS n
 FROM part GROUP BY 1""",

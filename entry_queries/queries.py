@@ -12,7 +12,7 @@ from entry_queries.roles import table
 from marketlens import fixed_values as fv
 from marketlens.functions import markup, numbers, text
 from marketlens.operators import keywords, pages, products, reviews, summary
-from marketlens.plans import review_report
+from marketlens.plans import page_harvest, review_report
 from marketlens.sources import writers
 from marketlens.sources.readers import spread
 
@@ -406,6 +406,14 @@ def item_details(spark, sf_dir):
     return pages.product_details(roles.item_pages(spark, sf_dir), F.col("item"))
 
 
+@query
+def item_harvest(spark, sf_dir):
+    stored = roles.item_pages(spark, sf_dir).select(
+        pages.detail_url(F.col("item")).alias("url"), "html"
+    )
+    return page_harvest.harvest(roles.ranking_pages(spark, sf_dir), stored)
+
+
 @query
 def item_status_counts(spark, sf_dir):
     details = pages.product_details(roles.item_pages(spark, sf_dir), F.col("item"))

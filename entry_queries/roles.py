@@ -125,3 +125,19 @@ def item_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "part")).select(
         F.lpad(key, 10, "B").alias("item"), F.when(size != 2, html).alias("html")
     )
+
+
+def ranking_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ranking page per part, which lists the part and the one with the next key."""
+    key = F.col("p_partkey")
+
+    def item(number: Column) -> Column:
+        return F.concat(
+            F.lit('<li class="x" data-asin="'), F.lpad(number.cast("string"), 10, "B"),
+            F.lit('">item</li>'),
+        )
+
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("/top/"), key.cast("string")).alias("url"),
+        F.concat(F.lit("<ul>"), item(key), item(key + 1), F.lit("</ul>")).alias("html"),
+    )

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -93,37 +94,50 @@ def _value_pattern(value: str, token: bool) -> str:
     return rf"(?:\"{v}\"|'{v}'|{v}(?=[\s>]))"
 
 
+@dataclass(frozen=True)
+class StartTag:
+    """A start tag to look for: a regex whose group 1 is the tag name, and texts that the
+    page must contain for the regex to be worth trying."""
+
+    pattern: str
+    needles: tuple[str, ...] = ()
+
+
 def open_tag(
     tag: str | None = None,
     element_id: str | None = None,
     classes: Sequence[str] = (),
     attributes: dict[str, str] | None = None,
-) -> str:
-    """Regex for a start tag with these properties; group 1 is its name.
+) -> StartTag:
+    """The start tag with these properties.
 
     Attributes may stand in any order; every class in ``classes`` must be present.
     """
     name = re.escape(tag) if tag else "[a-zA-Z][a-zA-Z0-9]*"
-    wanted: list[str] = []
+    exact = dict(attributes or {})
     if element_id is not None:
-        wanted.append(rf"(?=[^>]*?\s(?i:id)\s*=\s*{_value_pattern(element_id, False)})")
-    for one in classes:
-        wanted.append(rf"(?=[^>]*?\s(?i:class)\s*=\s*{_value_pattern(one, True)})")
-    for key, value in (attributes or {}).items():
-        wanted.append(rf"(?=[^>]*?\s(?i:{re.escape(key)})\s*=\s*{_value_pattern(value, False)})")
-    return rf"<((?i:{name}))\b{''.join(wanted)}[^>]*>"
+        exact["id"] = element_id
+    wanted = [
+        rf"(?=[^>]*?\s(?i:{re.escape(key)})\s*=\s*{_value_pattern(value, False)})"
+        for key, value in exact.items()
+    ] + [rf"(?=[^>]*?\s(?i:class)\s*=\s*{_value_pattern(one, True)})" for one in classes]
+    return StartTag(
+        rf"<((?i:{name}))\b{''.join(wanted)}[^>]*>", (*exact.values(), *classes)
+    )
 
 
-def element_markup(page: Column, start_tag: str) -> Column:
+def element_markup(page: Column, start_tag: StartTag) -> Column:
     """Inner markup of the first element that ``start_tag`` finds, or null.
 
     Most elements hold no element of their own name, and then the text up to the first
     end tag is the answer, found in one pass. Only the others take the second branch,
-    which adds up the pieces between end tags until start and end tags balance.
+    which adds up the pieces between end tags until start and end tags balance. A byte
+    search for the tag's values settles most absent elements without a regex.
     """
-    first_end = quoted(rf"{start_tag}((?s:.*?))(?:</(?i:\1)\s*>|\z)")
-    to_page_end = quoted(rf"{start_tag}((?s:.*))")
-    start = quoted(start_tag)
+    pattern = start_tag.pattern
+    first_end = quoted(rf"{pattern}((?s:.*?))(?:</(?i:\1)\s*>|\z)")
+    to_page_end = quoted(rf"{pattern}((?s:.*))")
+    start = quoted(pattern)
     same_start = rf"concat('(?i)<', tag, {quoted(r'(?=[\s>/])')})"
     same_end = rf"concat('(?i)</', tag, {quoted(r'\s*>')})"
     balanced = (
@@ -135,13 +149,14 @@ def element_markup(page: Column, start_tag: str) -> Column:
         "CASE WHEN s.started THEN concat('</', tag, '>') ELSE '' END, piece)) END).seen"
     )
     or_balanced = f"tag -> CASE WHEN regexp_count(m, {same_start}) > 0 THEN {balanced} ELSE m END"
-    return let_sql(
-        page,
-        f"p -> get(transform(array(regexp_extract(p, {first_end}, 2)), m -> CASE "
+    found = (
+        f"get(transform(array(regexp_extract(p, {first_end}, 2)), m -> CASE "
         f"WHEN m = '' AND NOT p RLIKE {start} THEN NULL WHEN NOT contains(m, '<') THEN m "
         f"ELSE get(transform(array(lower(regexp_extract(p, {start}, 1))), {or_balanced}), 0) "
-        "END), 0)",
+        "END), 0)"
     )
+    possible = " AND ".join(f"contains(p, {quoted(n)})" for n in start_tag.needles) or "true"
+    return let_sql(page, f"p -> CASE WHEN {possible} THEN {found} END")
 
 
 # An attribute value as it stands in the page, with its quotes if it has any.

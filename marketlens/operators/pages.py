@@ -126,13 +126,13 @@ def detail_url(item_id: Column, prefix: str = fv.DETAIL_URL_PREFIX) -> Column:
 
 @dataclass(frozen=True)
 class FieldRule:
-    """Where a field stands: start-tag patterns tried in turn, and its default.
+    """Where a field stands: start tags tried in turn, and its default.
 
-    The first pattern with an element wins; with ``skip_empty``, the first whose element
-    has text. ``remove`` is cut out of the text wherever it occurs.
+    The first one with an element wins; with ``skip_empty``, the first whose element has
+    text. ``remove`` is cut out of the text wherever it occurs.
     """
 
-    starts: tuple[str, ...]
+    starts: tuple[markup.StartTag, ...]
     default: str = fv.MISSING_TEXT
     skip_empty: bool = False
     remove: str = ""
@@ -225,7 +225,8 @@ def rank_text(page: Column) -> Column:
     )
     row_inner = F.regexp_extract(row, r"(?is)^[^>]*>(.*?)(?:</tr\s*>|\z)", 1)
     beside = (
-        F.when(page.rlike(_RANK_SPAN), F.regexp_extract(page, _AFTER_LABEL, 2))
+        F.when(~F.contains(page, F.lit(fv.RANK_LABEL)), F.lit(""))
+        .when(page.rlike(_RANK_SPAN), F.regexp_extract(page, _AFTER_LABEL, 2))
         .when(page.rlike(_RANK_CELL), row_inner)
         .otherwise(F.lit(""))
     )
@@ -235,7 +236,8 @@ def rank_text(page: Column) -> Column:
 
 def _rank_unreadable(page: Column) -> Column:
     """The label stands in a span after which the page has no further element."""
-    return page.rlike(rf"{_RANK_SPAN}(?!(?s:.*?)<[a-zA-Z])")
+    dangling = page.rlike(rf"{_RANK_SPAN}(?!(?s:.*?)<[a-zA-Z])")
+    return F.contains(page, F.lit(fv.RANK_LABEL)) & dangling
 
 
 # --- status --------------------------------------------------------------------------

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from marketlens import fixed_values as fv
 from marketlens.functions import numbers
@@ -14,18 +15,25 @@ from marketlens.operators.quantiles import MAX_BROADCAST_GROUPS, exact_quantiles
 
 
 def with_price(products: DataFrame) -> DataFrame:
-    """Add ``Price_Clean`` (number or null) and ``Title_Lower``."""
-    return products.withColumns(
-        {
-            "Price_Clean": numbers.price_value(F.col("Price")),
-            "Title_Lower": F.lower("Title"),
-        }
-    )
+    """Add ``Price_Clean`` (number or null) and ``Title_Lower``.
+
+    A price that is a number already keeps its size; a sign is not part of a price.
+    """
+    price = F.col("Price")
+    if isinstance(products.schema["Price"].dataType, NumericType):
+        number = F.abs(price.cast("double"))
+        clean = F.when(~F.isnan(number), number)
+    else:
+        clean = numbers.price_value(price)
+    return products.withColumns({"Price_Clean": clean, "Title_Lower": F.lower("Title")})
 
 
 def matching_products(products: DataFrame, pattern: str = fv.MODEL_PATTERN) -> DataFrame:
-    """Products whose lower-cased title holds ``pattern``; a null title does not."""
-    return with_price(products).filter(F.col("Title_Lower").rlike(pattern))
+    """Products whose lower-cased title holds ``pattern``; a null title does not.
+
+    Classes such as ``\\s`` in the pattern cover all of Unicode, so a hard blank is one.
+    """
+    return with_price(products).filter(F.col("Title_Lower").rlike(f"(?U){pattern}"))
 
 
 def priced_products(products: DataFrame, pattern: str = fv.MODEL_PATTERN) -> DataFrame:

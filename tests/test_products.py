@@ -36,6 +36,15 @@ def test_filter_and_counts(spark):
     assert tuple(products.product_counts(table).first()) == (4, 2, 2)
 
 
+def test_numeric_prices_and_hard_blanks(spark):
+    table = spark.createDataFrame(
+        [("iPhone\u00a017", 1.5e7, "", "", "A"), ("iphone 17", float("nan"), "", "", "A")],
+        SCHEMA.replace("Price string", "Price double"),
+    )
+    assert tuple(products.product_counts(table).first()) == (2, 1, 1)
+    assert products.priced_products(table).first().Price_Clean == 1.5e7
+
+
 def test_scatter(spark):
     priced = products.priced_products(spark.createDataFrame(ROWS, SCHEMA))
     strict = {tuple(r) for r in products.rating_scatter(priced).collect()}
