@@ -32,10 +32,10 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolation quantiles of ``value`` repeated ``weight`` times, per group.
 
-    ``weighted`` has one row per distinct (group, value). The values of each group are cut
-    into ``blocks`` squared about even buckets by a bounded sketch. Bucket totals, at most
-    that many rows per group, tell which buckets hold the wanted ranks, and only those are then sorted, each
-    in a task of its own. The sketch places the cuts only; the result is exact.
+    ``weighted`` has one row per distinct (group, value). A bounded sketch cuts the values of
+    each group into ``blocks`` squared about even buckets. Bucket totals, at most that many
+    rows per group, tell which buckets hold the wanted ranks, and only those are then
+    sorted, each in a task of its own. The sketch places the cuts only; the result is exact.
 
     ``groups_at_most`` is a bound on the number of groups, where the caller has one; up to a
     thousand, the cuts and targets are broadcast, so that no group moves to one task to
