@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import decontaminate, sharding, url_rules
+from marketlens.llm import decontaminate, jaccard, sharding, url_rules
 from marketlens.llm.tables import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,8 @@ def op3_url_filter(spark, sf_dir):
 def op5_decontamination(spark, sf_dir):
     hits = decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.contamination(hits)
+
+
+@query
+def op9_ngram_jaccard(spark, sf_dir):
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
