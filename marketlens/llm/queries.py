@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import decontaminate, jaccard, sharding, url_rules
+from marketlens.llm import decontaminate, jaccard, sharding, toxicity, url_rules
 from marketlens.llm.tables import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,9 @@ def op5_decontamination(spark, sf_dir):
 @query
 def op9_ngram_jaccard(spark, sf_dir):
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(documents, toxicity.learn(documents, table(spark, sf_dir, "labels")))
