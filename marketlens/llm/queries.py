@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import decontaminate, jaccard, sharding, toxicity, url_rules
+from marketlens.llm import decontaminate, jaccard, resample, sharding, toxicity, url_rules
 from marketlens.llm.tables import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,9 @@ def op9_ngram_jaccard(spark, sf_dir):
 def op10_toxicity(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(documents, toxicity.learn(documents, table(spark, sf_dir, "labels")))
+
+
+@query
+def op7_quality(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return resample.score_quality(documents, resample.fit(documents, table(spark, sf_dir, "labels")))
