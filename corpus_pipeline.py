@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read by the next.
+
+Every stage works on all rows its predecessor kept. Rows with null or empty text pass the filters:
+they hold no n-grams, no clause, no shingles and no benchmark words, and pack as one end token.
+An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -6,25 +11,54 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import decontaminate
+from marketlens.llm import decontaminate, jaccard, packing, resample, toxicity
+from marketlens.llm.queries import vocabulary
 from marketlens.llm.tables import table, work_folder
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling selects."""
+    return resample.selected_documents(docs, resample.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the clause grammar doesn't call toxic."""
+    return toxicity.without_toxic(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of linked documents, the one with the smallest id."""
+    return jaccard.one_of_each(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
     return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("benchmark decontamination", decontamination)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The power-of-two pieces of every document and their sequences."""
+    return packing.packed(docs, vocabulary())
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("toxicity", clean_language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("packing", pack),
+]
 
+#: The learned weights, the prefix tree and the tokenizer have no SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written below the shared folder."""
+    """All stages over ``documents``; what a stage keeps is written below the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = f"{work_folder(spark)}/pipeline-{uuid.uuid4().hex}/{name.replace(' ', '-')}"
+    folder = f"{work_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for place, (_, stage) in enumerate(STAGES[:-1]):
+        path = f"{folder}/{place}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

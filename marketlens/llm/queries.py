@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import decontaminate, jaccard, resample, sharding, toxicity, url_rules
+from marketlens.llm import decontaminate, jaccard, packing, resample, sharding, toxicity, url_rules
 from marketlens.llm.tables import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,14 @@ def op10_toxicity(spark, sf_dir):
 def op7_quality(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     return resample.score_quality(documents, resample.fit(documents, table(spark, sf_dir, "labels")))
+
+
+@query
+def op4_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
