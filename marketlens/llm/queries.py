@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import decontaminate, jaccard, packing, resample, sharding, toxicity, url_rules
+from marketlens.llm import (
+    decontaminate,
+    html_text,
+    jaccard,
+    licenses,
+    nearest,
+    packing,
+    resample,
+    sharding,
+    toxicity,
+    url_rules,
+)
 from marketlens.llm.tables import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +81,19 @@ def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op2_html_extraction(spark, sf_dir):
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_license_scan(spark, sf_dir):
+    return licenses.license_scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
+@query
+def op8_nearest_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.nearest_vectors(vectors, vectors.where("vec_id % 20 = 0"))
