@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm.components import components
-from marketlens.llm.prefix_tree import similar_sets
+from marketlens.llm.prefix_tree import PrefixTree, least_overlap, prefix_length
 from marketlens.llm.shingles import BINS, bin_of, in_order, set_number, shingle_set
 from marketlens.llm.tables import durable, small
 
@@ -18,9 +18,8 @@ WORDS = 5
 PERCENT = 80
 #: Shingles of the sets that one prefix tree holds; more candidates of a set make more trees.
 TREE_SHINGLES = 500_000
-#: The first round compares with one set of each group, every later one with so many times more.
-PIVOT_GROWTH = 4
-
+#: Rounds of comparing groups with one set each go on while they link this share of the sets.
+MERGING = 0.05
 
 
 def _profiled(documents: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -79,12 +78,13 @@ def similar_documents(
     Two documents link when ``100 * intersection >= percent * union`` of their sets. Every set is
     put in one global order of its shingles, rare ones first by counts over the whole corpus in a
     fixed number of bins. Linked sets share one of the first ``n - ceil(n * percent / 100) + 1``
-    shingles of each, so only sets that meet there are compared. In rounds, each such group of sets
-    compares its smallest members, 1, then 4, 16 and so on, with the others that belong to other
-    classes so far; those members are then done, and groups that lie in one class drop out. Copies
-    and near copies so collapse onto one set in the first rounds, and no group's pairs are listed.
-    The comparison walks a prefix tree of a bounded block of sets (``prefix_tree``) with the whole
-    of both sets, so links are exact.
+    shingles of each, so only sets that meet there are compared, and only if their first ones share
+    enough for the rest to suffice. In rounds, each such group compares its smallest set with the
+    others that belong to other classes so far; that set is then done, and groups that lie in one
+    class drop out. So copies and near copies collapse first, without their pairs. When rounds no
+    longer link much, the sets that still meet across classes are compared in blocks. Comparing
+    walks a prefix tree of a bounded block (``prefix_tree``) with the whole of both sets, so links
+    are exact.
 
     Returns ``key, n_shingles, component_id``: the smallest key reachable over links, its own
     included. Documents with null or empty text, or white space alone, have no shingles, link with
@@ -122,7 +122,7 @@ def _set_classes(
                 if n:
                     sizes.append(n)
                     numbers.append(set_number(found))
-                    heads.append(in_order(found, rank.value)[: n + 1 + -n * percent // 100].view(np.int64))
+                    heads.append(in_order(found, rank.value)[: prefix_length(n, percent)].view(np.int64))
             ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
             flat = np.concatenate(heads) if heads else np.empty(0, np.int64)
             yield _batch(
@@ -139,91 +139,231 @@ def _set_classes(
     groups = durable(
         postings.join(shared, "shingle").groupBy("shingle", "set_number").agg(F.min("n").alias("n"))
     )
-    known, pivots = None, 1
-    while True:
-        labelled = groups.withColumn("component", F.col("set_number"))
-        if known is not None:
-            labelled = groups.join(known, "set_number", "left").withColumn(
-                "component", F.coalesce("component", "set_number")
-            )
-        mixed = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        live = labelled.join(mixed.where("low < high").select("shingle"), "shingle")
-        place = F.row_number().over(Window.partitionBy("shingle").orderBy("set_number"))
-        live = durable(live)
+    sets = _Sets(documents, profile, key, text, words, percent, rank)
+    heads = groups.groupBy("set_number").agg(F.collect_list("shingle").alias("head"))  # a set's own prefix
+    known, live, merging = None, groups, True
+    while merging:
+        live = durable(_mixed(live, known))
         if live.isEmpty():
             break
-        chosen = live.withColumn("place", place).where(F.col("place") <= pivots).drop("place")
-        pairs = durable(
-            live.alias("m").join(chosen.alias("p"), "shingle")
-            .where("m.set_number > p.set_number and m.component <> p.component")
-            .where(f"100 * least(m.n, p.n) >= {percent} * greatest(m.n, p.n)")
-            .select(F.col("p.set_number").alias("pivot"), F.col("m.set_number").alias("member"), F.col("m.n").alias("n"))
+        pivots = live.groupBy("shingle").agg(F.min_by(F.struct("set_number", "component", "n"), "set_number").alias("p"))
+        pairs = (
+            live.join(pivots, "shingle").where("set_number <> p.set_number and component <> p.component")
+            .where(f"100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
+            .select(F.col("set_number").alias("member"), "n", F.col("p.set_number").alias("pivot"), F.col("p.n").alias("m"))
             .distinct()
         )
-        links = durable(_linked(documents, profile, pairs, key, text, words, percent, rank))
-        if not links.isEmpty():
-            stars = links if known is None else links.unionByName(
-                known.select(F.col("set_number").alias("a"), F.col("component").alias("b"))
-            )
-            known = durable(components(stars).withColumnRenamed("node", "set_number"))
-        groups = live.join(chosen.select("shingle", "set_number"), ["shingle", "set_number"], "left_anti").drop("component")
-        pivots *= PIVOT_GROWTH
+        pairs = durable(_enough_in_prefix(pairs, heads, percent))
+        links = durable(sets.star_links(pairs))
+        found = links.count()
+        known = _merged(known, links) if found else known
+        merging = found > MERGING * live.select("set_number").distinct().count()
+        live = live.join(pivots.select("shingle", F.col("p.set_number").alias("set_number")), ["shingle", "set_number"], "left_anti")
+    live = durable(_mixed(live, known))
+    if not live.isEmpty():
+        links = durable(sets.block_links(live))
+        known = known if links.isEmpty() else _merged(known, links)
     if known is None:
         return documents.sparkSession.createDataFrame([], "set_number long, component long")
     return known
 
 
-def _linked(
-    documents: DataFrame, profile: DataFrame, pairs: DataFrame, key: str, text: str, words: int, percent: int, rank
-) -> DataFrame:
-    """The pairs that link, as ``a, b``; each pivot walks trees of bounded blocks of its members."""
-    blocks = pairs.groupBy("pivot").agg(F.ceil(F.sum("n") / TREE_SHINGLES).alias("blocks"))
-    jobs = pairs.join(blocks, "pivot").select(
-        "pivot", F.pmod(F.xxhash64("member"), "blocks").alias("block"), F.col("member").alias("set_number")
-    )
-    jobs = durable(
-        jobs.unionByName(jobs.select("pivot", "block", F.col("pivot").alias("set_number")).distinct())
-    )
-    wanted = jobs.select("set_number").distinct()
-    owners = durable(profile.join(wanted, "set_number").groupBy("set_number").agg(F.min("key").alias(key)))
-    texts = documents.select(key, text).join(small(owners, owners.count()), key)
+def _mixed(groups: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Members, with their classes so far, of the groups that hold more than one class."""
+    labelled = groups.select("shingle", "set_number", "n").withColumn("component", F.col("set_number"))
+    if known is not None:
+        labelled = groups.select("shingle", "set_number", "n").join(known, "set_number", "left").withColumn(
+            "component", F.coalesce("component", "set_number")
+        )
+    several = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return labelled.join(several.where("low < high").select("shingle"), "shingle")
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            numbers, sets = [], []
-            for body, number in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = shingle_set(body, words)
-                if set_number(found) == number:  # a repeated key may have other texts
-                    numbers.append(number)
-                    sets.append(in_order(found, rank.value)[::-1].tobytes())
-            yield _batch(["set_number", "shingles"], [numbers, sets], [pa.int64(), pa.binary()])
 
-    sets = texts.select(text, "set_number").mapInArrow(whole, "set_number long, shingles binary")
+def _merged(known: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Classes after some more links; the classes so far are links of their members."""
+    if known is not None:
+        links = links.unionByName(known.select(F.col("set_number").alias("a"), F.col("component").alias("b")))
+    return durable(components(links).withColumnRenamed("node", "set_number"))
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found() -> pa.RecordBatch:
-            query, members = held.pop(at[0], None), list(held)
-            hits = similar_sets(query, list(held.values()), percent) if query is not None else []
-            return _batch(["a", "b"], [[at[0]] * len(hits), [members[i] for i in hits]], [pa.int64(), pa.int64()])
 
-        at, held = None, {}
-        for batch in batches:
-            for pivot, block, number, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                if (pivot, block) != at:
-                    if held:
-                        yield found()
-                    at, held = (pivot, block), {}
-                held[number] = np.frombuffer(packed, np.uint64)
-        if held:
-            yield found()
+def _enough_in_prefix(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose prefixes share enough. Of two linked sets, the one whose prefix ends first has all
+    it shares outside the common part of the prefixes behind its own prefix."""
+    def tail(n: str) -> str:
+        return f"({n} - ({n} + 1 - cast(ceil({n} * {percent} / 100) as long)))"
 
+    need = f"cast(ceil({percent} * (n + m) / {100 + percent}) as long) - greatest({tail('n')}, {tail('m')})"
     return (
-        jobs.join(sets, "set_number").select("pivot", "block", "set_number", "shingles")
-        .repartition("pivot", "block").sortWithinPartitions("pivot", "block")
-        .mapInArrow(walk, "a long, b long")
+        pairs.join(heads.withColumnRenamed("set_number", "member"), "member")
+        .join(heads.select(F.col("set_number").alias("pivot"), F.col("head").alias("other")), "pivot")
+        .where(F.size(F.array_intersect("head", "other")) >= F.expr(need))
+        .select("pivot", "member", "n", "m")
     )
 
 
+class _Sets:
+    """Fetches whole sets by their numbers and compares them by prefix trees."""
+
+    def __init__(self, documents, profile, key, text, words, percent, rank):
+        self.documents, self.profile, self.key, self.text = documents, profile, key, text
+        self.words, self.percent, self.rank = words, percent, rank
+
+    def fetched(self, jobs: DataFrame) -> DataFrame:
+        """``jobs`` with the ``shingles`` of their ``set_number``, in falling order.
+
+        One document of each wanted set is read again; its sets are not kept in between.
+        """
+        words, rank = self.words, self.rank
+        owners = durable(
+            self.profile.join(jobs.select("set_number").distinct(), "set_number")
+            .groupBy("set_number").agg(F.min("key").alias(self.key))
+        )
+        texts = self.documents.select(self.key, self.text).join(small(owners, owners.count()), self.key)
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                numbers, sets = [], []
+                for body, number in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    found = shingle_set(body, words)
+                    if set_number(found) == number:  # a repeated key may have other texts
+                        numbers.append(number)
+                        sets.append(in_order(found, rank.value)[::-1].tobytes())
+                yield _batch(["set_number", "shingles"], [numbers, sets], [pa.int64(), pa.binary()])
+
+        sets = texts.select(self.text, "set_number").mapInArrow(whole, "set_number long, shingles binary")
+        return jobs.join(sets.dropDuplicates(["set_number"]), "set_number")
+
+    def star_links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that link, as ``a, b``: each pivot walks trees of bounded blocks of its members."""
+        percent = self.percent
+        blocks = pairs.groupBy("pivot").agg(F.ceil(F.sum("n") / TREE_SHINGLES).alias("blocks"))
+        members = pairs.join(blocks, "pivot").select(
+            "pivot", F.pmod(F.xxhash64("member"), "blocks").alias("block"), F.col("member").alias("set_number")
+        )
+        own = members.select("pivot", "block", F.col("pivot").alias("set_number")).distinct()
+        rows = self.fetched(durable(members.unionByName(own)))
+
+        def walk(job: tuple, held: dict[str, list]) -> tuple[list, list]:
+            at = held["set_number"].index(job[0])
+            query = held["shingles"].pop(at)
+            names = [n for i, n in enumerate(held["set_number"]) if i != at]
+            hits = PrefixTree(held["shingles"]).similar(query, percent)
+            return [job[0]] * len(hits), [names[i] for i in hits]
+
+        return _per_job(rows.select("pivot", "block", "set_number", "shingles"), 2, walk)
+
+    def block_links(self, live: DataFrame) -> DataFrame:
+        """Links, as ``a, b``, between members of live groups that are of different classes.
+
+        Sets that meet in groups, over any number of steps, form a cluster; clusters are cut into
+        blocks of bounded size and every two blocks of a cluster make a job, so that a set is sent
+        once for each block of its cluster and not for each group.
+        """
+        percent = self.percent
+        least = live.groupBy("shingle").agg(F.min("set_number").alias("b"))
+        clusters = components(live.join(least, "shingle").select(F.col("set_number").alias("a"), "b").distinct())
+        members = (
+            live.groupBy("set_number").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.collect_list("shingle").alias("head"))
+            .join(clusters.select(F.col("node").alias("set_number"), F.col("component").alias("cluster")), "set_number")
+        )
+        sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / TREE_SHINGLES).alias("blocks"))
+        own = F.pmod(F.xxhash64("set_number"), F.col("blocks"))
+        placed = members.join(sizes, "cluster").withColumn("own", own)
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        jobs = durable(placed.withColumn("other", other).select(
+            "cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+            "own", "set_number", "n", "component", "head",
+        ))
+        rows = self.fetched(jobs)
+
+        def compare(job: tuple, held: dict[str, list]) -> tuple[list, list]:
+            return _cross_links(job[1], job[2], held, percent)
+
+        columns = ("cluster", "low", "high", "own", "set_number", "n", "component", "head", "shingles")
+        return _per_job(rows.select(*columns), 3, compare)
+
+
+def _per_job(rows: DataFrame, keys: int, work) -> DataFrame:
+    """``work(job, columns of its rows)`` for each job, whose key is in the first columns: ``a, b``.
+
+    Rows are dealt by the key and sorted, so a task holds one bounded job at a time.
+    """
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            a, b = work(at, held)
+            return _batch(["a", "b"], [a, b], [pa.int64(), pa.int64()])
+
+        at, held = None, {}
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[: keys]]
+            rest = {n: _values(batch.column(keys + i)) for i, n in enumerate(names[keys:])}
+            for row, job in enumerate(zip(*columns)):
+                if job != at:
+                    if at is not None:
+                        yield done()
+                    at, held = job, {n: [] for n in rest}
+                for n, values in rest.items():
+                    held[n].append(values[row])
+        if at is not None:
+            yield done()
+
+    return rows.repartition(*names[:keys]).sortWithinPartitions(*names[:keys]).mapInArrow(run, "a long, b long")
+
+
+def _values(column: pa.Array) -> list:
+    """Python values; arrays of numbers for lists and packed sets."""
+    if pa.types.is_binary(column.type):
+        return [np.frombuffer(b, np.uint64) for b in column.to_pylist()]
+    if pa.types.is_list(column.type):
+        flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    return column.to_pylist()
+
+
+def _cross_links(low: int, high: int, held: dict[str, list], percent: int) -> tuple[list, list]:
+    """Links between two blocks, or within one, that join classes not joined before in this job.
+
+    Members of the prefixes are counted through an inverted list; who shares enough of them is
+    looked up in the prefix tree of the block.
+    """
+    own = np.array(held["own"])
+    left = np.flatnonzero(own == low)
+    right = np.flatnonzero(own == high)
+    names, sizes = held["set_number"], np.array(held["n"], np.int64)
+    class_of = np.array(held["component"], np.int64)
+    tails = sizes - prefix_length(sizes, percent)
+    tree = PrefixTree([held["shingles"][i] for i in right])
+    shingles = np.concatenate([held["head"][i] for i in right])
+    owners = np.repeat(np.arange(len(right)), [len(held["head"][i]) for i in right])
+    order = np.argsort(shingles, kind="stable")
+    shingles, owners = shingles[order], owners[order]
+    a, b = [], []
+    for place, i in enumerate(left):
+        starts = np.searchsorted(shingles, held["head"][i], "left")
+        ends = np.searchsorted(shingles, held["head"][i], "right")
+        met = [owners[s:e] for s, e in zip(starts, ends) if e > s]
+        if not met:
+            continue
+        common = np.bincount(np.concatenate(met), minlength=len(right))
+        n, m = sizes[i], sizes[right]
+        need = np.maximum(1, least_overlap(n, m, percent) - np.maximum(tails[i], tails[right]))
+        fit = (common >= need) & (class_of[right] != class_of[i]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        if low == high:
+            fit[: place + 1] = False
+        among = np.flatnonzero(fit)
+        if not len(among):
+            continue
+        for hit in tree.similar(held["shingles"][i], percent, among):
+            j = right[hit]
+            a.append(names[i])
+            b.append(names[j])
+            if class_of[j] != class_of[i]:
+                class_of[class_of == class_of[j]] = class_of[i]
+    return a, b
+
+
 def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents without the near copies of an earlier one: the smallest key of each class stays.
 

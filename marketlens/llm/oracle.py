@@ -81,3 +81,37 @@ FROM docs LEFT JOIN hit USING (r) LEFT JOIN which USING (r)
 """
 
 ORACLE: dict[str, str] = {"op1_sharding": OP1, "op3_url_filter": OP3, "op5_decontamination": OP5}
+
+_SPELT = "translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPELT = f"regexp_replace({_SPELT}, '(^|\\n)[ \\t]*(copyright|\\(c\\)|©)[^\\n]*', '\\1', 'g')"
+
+
+def _canonical(text: str) -> str:
+    from marketlens.llm.licenses import SPELLINGS
+
+    form = _SPELT.replace("{text}", text)
+    for spelling, one in SPELLINGS:
+        form = f"replace({form}, '{spelling}', '{one}')"
+    return f"trim(regexp_replace({form}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'))"
+
+
+def _op6() -> str:
+    from marketlens.llm.licenses import KNOWN
+
+    known = ", ".join(f"('{name}', '{text}')" for name, text in KNOWN)
+    return f"""
+WITH known AS (
+  SELECT form, min(license) AS license
+  FROM (SELECT license, {_canonical('text')} AS form FROM (VALUES {known}) AS v(license, text))
+  WHERE form <> '' GROUP BY form),
+docs AS (SELECT row_number() OVER () AS r, doc_id, text, {_canonical('text')} AS form FROM documents),
+lines AS (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM docs),
+found AS (
+  SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n
+  FROM (SELECT r, {_canonical('line')} AS form FROM lines) JOIN known USING (form) GROUP BY r)
+SELECT doc_id, sha256(form) AS digest, license, coalesce(notices, '') AS notices, coalesce(n, 0) AS n_notice_lines
+FROM docs LEFT JOIN known USING (form) LEFT JOIN found USING (r)
+"""
+
+
+ORACLE["op6_license_scan"] = _op6()
