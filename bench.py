@@ -16,8 +16,8 @@ HEADLINE = (
     "theme_polarity", "review_stats", "length_by_rating", "crawl_coverage", "status_top5",
     "review_summary", "product_filter", "price_histogram", "price_density", "value_density",
     "brand_top10", "brand_box_top5", "line_price_box", "price_band_share", "brand_share",
-    "page_links", "page_ids_fallback", "page_fields", "item_details", "item_details_quick", "item_harvest",
-    "keyword_coverage_totals", "keyword_placement",
+    "value_box", "page_links", "page_ids_fallback", "page_ids_all", "page_fields", "item_details", "item_details_quick", "item_harvest",
+    "keyword_coverage", "keyword_hits", "keyword_coverage_totals", "keyword_placement",
 )
 
 
@@ -35,6 +35,7 @@ def main() -> None:
             "spark.master": f"local[{cpus}]",
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"),
             "spark.sql.shuffle.partitions": cpus,
+            "spark.marketlens.inputPartitions": cpus,
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },

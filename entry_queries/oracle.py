@@ -84,6 +84,10 @@ def _as_entries(section: str, name: str, value: str, source: str) -> str:
     )
 
 
+def _placed(listed: str, name: str) -> str:
+    return f"SELECT *, row_number() OVER (ORDER BY n DESC, {name}) AS place FROM ({listed})"
+
+
 _SUMMARY = " UNION ALL ".join(
     [
         *(
@@ -115,6 +119,12 @@ _SUMMARY = " UNION ALL ".join(
             _as_entries(f"{side}_top_bigrams", "bigram", "n", _top("bigrams", "bigram", side, 15))
             for side in ("positive", "negative")
         ),
+        *(
+            _as_entries(f"headline_{side}_words", "word", "place", _placed(_top("words", "word", side, 5), "word"))
+            for side in ("positive", "negative")
+        ),
+        _as_entries("headline_themes", "theme", "place", _placed(
+            "SELECT theme, count(*) AS n FROM hits GROUP BY 1 ORDER BY n DESC, theme LIMIT 4", "theme")),
     ]
 )
 
@@ -183,8 +193,15 @@ l AS (SELECT page_id, page,
 _UNIQUE = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
 
 
+#: A paragraph up to its end tag or the end of the article.
+_CUT = r"regexp_extract({0}, '(?s)^(.*?)(?:</p\s*>|</article|\z)', 1)"
+
+
 def _text(tag: str) -> str:
-    inner = rf"regexp_extract(page, '(?s)<{tag}[^>]*>(.*?)</{tag.split()[0]}>', 1)"
+    return _text_of(rf"regexp_extract(page, '(?s)<{tag}[^>]*>(.*?)</{tag.split()[0]}>', 1)")
+
+
+def _text_of(inner: str) -> str:
     bare = rf"trim(regexp_replace({inner}, '\s*<[^>]*>\s*', '', 'g'))"
     for code, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
         bare = f"replace({bare}, '{code}', '{char}')"
@@ -212,8 +229,8 @@ def _keyword_rows(rest: str) -> str:
     # RE2 word borders are ASCII, so other letters become blanks and digits stay.
     plain = r"regexp_replace(lower({0}), '[^a-z0-9]', ' ', 'g')"
     return rf"""{_PAGES}, t AS (SELECT page_id AS listing_id, {plain.format(_text("title"))} AS words,
-  list_transform(regexp_extract_all(page, '<p>([^<]*)</p>', 1),
-    lambda b: {plain.format("b")}) AS bullets FROM l),
+  list_transform(string_split_regex(page, '<p(?:\s[^>]*)?>')[2:],
+    lambda b: {plain.format(_text_of(_CUT.format("b")))}) AS bullets FROM l),
 c AS ({cells}) {rest}"""
 
 
@@ -277,6 +294,7 @@ FROM part""",
     "crawl_coverage": _COVERAGE,
     "status_top5": _TRACES,
     "review_summary": f"{_REVIEWS} {_SUMMARY}",
+    "summary_json": f"{_REVIEWS} {_SUMMARY}",
     "product_filter": f'SELECT * FROM ({_PRODUCTS}) WHERE "Price_Clean" IS NOT NULL',
     "product_filter_counts": f"""SELECT count(*) AS found, count_if("Price_Clean" IS NULL) AS dropped,
   count("Price_Clean") AS kept FROM ({_PRODUCTS})""",
@@ -317,6 +335,13 @@ c AS (SELECT page_id, CASE WHEN len(first) < 2 THEN list_concat(first, second) E
   FROM u),
 k AS (SELECT page_id, ({_UNIQUE.format("ids")})[1:5] AS ids FROM c)
 SELECT page_id, i AS position, ids[i] AS "ASIN", 'https://www.amazon.com/dp/' || ids[i] AS detail_url
+FROM k, unnest(range(1, len(ids) + 1)) AS r(i)""",
+    "page_ids_all": rf"""{_PAGES}, a AS (SELECT page_id, list_concat(
+  list_filter(links, lambda x: length(x) = 4),
+  list_filter(list_transform(links, lambda x: regexp_extract(x, '/([a-z]{{2}})', 1)),
+    lambda x: x <> '')) AS ids FROM l),
+k AS (SELECT page_id, {_UNIQUE.format("ids")} AS ids FROM a)
+SELECT page_id, i AS position, ids[i] AS "ASIN", 'https://www.amazon.com/dp/' || ids[i] AS detail_url
 FROM k, unnest(range(1, len(ids) + 1)) AS r(i)""",
     "page_ids_distinct": rf"""{_PAGES} SELECT DISTINCT id AS "ASIN" FROM (
   SELECT unnest(list_transform(links, lambda x: regexp_extract(x, '/([a-z]{{3}})', 1))) AS id FROM l)
@@ -352,6 +377,7 @@ FROM part GROUP BY 1""",
   CASE WHEN p_size <> 2 THEN {_STARS} END AS "Rating",
   CASE WHEN p_size = 2 THEN 'no page' END AS "Error" FROM part""",
     "keyword_coverage": _keyword_rows("SELECT listing_id, keyword, coverage FROM c"),
+    "keyword_hits": _keyword_rows("SELECT listing_id, keyword, coverage FROM c WHERE coverage <> 'No'"),
     "keyword_coverage_totals": _keyword_rows(
         "SELECT keyword, coverage, count(*) AS n FROM c GROUP BY 1, 2"
     ),

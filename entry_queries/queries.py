@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entry_queries import roles
-from entry_queries.roles import table
+from entry_queries.roles import dealt, table
 from marketlens import fixed_values as fv
 from marketlens.functions import markup, numbers, text
 from marketlens.operators import keywords, pages, products, reviews, summary
 from marketlens.plans import page_harvest, review_report
 from marketlens.sources import writers
-from marketlens.sources.readers import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -43,7 +42,7 @@ def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def mojibake_repair(spark, sf_dir):
     once = roles.damaged(F.col("text"))
-    return spread(table(spark, sf_dir, "documents")).select(
+    return dealt(table(spark, sf_dir, "documents")).select(
         "doc_id",
         F.md5(text.repair_encoding(once)).alias("once_md5"),
         F.md5(text.repair_encoding(roles.damaged(once))).alias("twice_md5"),
@@ -52,7 +51,7 @@ def mojibake_repair(spark, sf_dir):
 
 @query
 def garbled_flag(spark, sf_dir):
-    return spread(table(spark, sf_dir, "documents")).select(
+    return dealt(table(spark, sf_dir, "documents")).select(
         "doc_id",
         text.is_garbled(roles.damaged(F.col("text"))).alias("damaged_is_garbled"),
         text.is_garbled(F.col("text")).alias("text_is_garbled"),
@@ -61,7 +60,7 @@ def garbled_flag(spark, sf_dir):
 
 @query
 def ascii_letter_ratio(spark, sf_dir):
-    return spread(table(spark, sf_dir, "documents")).select(
+    return dealt(table(spark, sf_dir, "documents")).select(
         "doc_id",
         F.round(text.ascii_letter_share(F.col("text")), 6).alias("share"),
         text.is_mostly_english(F.col("text"), roles.LETTER_SHARE).alias("mostly_english"),
@@ -183,7 +182,8 @@ def status_top5(spark, sf_dir):
 
 def _summary(spark, sf_dir):
     staged = review_report.staged_reviews(
-        roles.raw_reviews(spark, sf_dir), roles.LETTER_SHARE, roles.LEXICON
+        roles.raw_reviews(spark, sf_dir), roles.LETTER_SHARE, roles.LEXICON,
+        columns=review_report.STATISTIC_COLUMNS,
     )
     return review_report.summary_of(staged, roles.crawl_log(spark, sf_dir))
 
@@ -191,8 +191,20 @@ def _summary(spark, sf_dir):
 @query
 def review_summary(spark, sf_dir):
     """The summary record, one row per number or list entry."""
+    return _summary_entries(_summary(spark, sf_dir))
+
+
+@query
+def summary_json(spark, sf_dir):
+    """The JSON document of the summary, read back from its text, one row per number or entry."""
     record = _summary(spark, sf_dir)
+    document = writers.to_json_text(record)
+    return _summary_entries(
+        document.select(F.from_json("value", record.schema).alias("r")).select("r.*")
+    )
+
 
+def _summary_entries(record: DataFrame) -> DataFrame:
     def entries(section: str, key, value, items):
         return F.transform(
             items,
@@ -216,6 +228,15 @@ def review_summary(spark, sf_dir):
                        F.col(section)[n].cast("double").alias("value")) for n in names)
         )
 
+    def of_names(names: str):
+        return F.transform(
+            F.col("headline")[names],
+            lambda name, i: F.struct(
+                F.lit(f"headline_{names}").alias("section"), name.alias("name"),
+                (i + 1).cast("double").alias("value"),
+            ),
+        )
+
     stats = record.schema["review_stats"].dataType.names
     crawl = [n for n in record.schema["crawl_status"].dataType.names if n != "status_trace_top"]
     return record.select(
@@ -231,16 +252,12 @@ def review_summary(spark, sf_dir):
                         F.map_entries(F.col("crawl_status.status_trace_top"))),
                 *(of_list(f"{side}_top_{kind}")
                   for side in summary.SIDES for kind in ("words", "bigrams")),
+                *(of_names(n) for n in ("positive_words", "negative_words", "themes")),
             )
         )
     )
 
 
-@query
-def summary_json(spark, sf_dir):
-    return writers.to_json_text(_summary(spark, sf_dir))
-
-
 # --- products ------------------------------------------------------------------------
 
 
@@ -343,22 +360,31 @@ def brand_share(spark, sf_dir):
 
 @query
 def page_links(spark, sf_dir):
-    return pages.page_links(spread(table(spark, sf_dir, "pages")), ["page_id"])
+    return pages.page_links(dealt(table(spark, sf_dir, "pages")), ["page_id"])
 
 
 @query
 def page_ids_fallback(spark, sf_dir):
     ids = pages.page_item_ids(
-        spread(table(spark, sf_dir, "pages")), keep=["page_id"],
+        dealt(table(spark, sf_dir, "pages")), keep=["page_id"],
         attribute="href", length=4, pattern="/([a-z]{2})", minimum=2, cap=5,
     )
     return ids
 
 
+@query
+def page_ids_all(spark, sf_dir):
+    """All ids by attribute and by link, without caps or thresholds."""
+    return pages.page_item_ids(
+        table(spark, sf_dir, "pages"), keep=["page_id"],
+        attribute="href", length=4, pattern="/([a-z]{2})",
+    )
+
+
 @query
 def page_ids_distinct(spark, sf_dir):
     ids = pages.page_item_ids(
-        spread(table(spark, sf_dir, "pages")), "links", keep=["page_id"], pattern="/([a-z]{3})"
+        dealt(table(spark, sf_dir, "pages")), "links", keep=["page_id"], pattern="/([a-z]{3})"
     )
     return pages.distinct_ids(ids)
 
@@ -366,7 +392,7 @@ def page_ids_distinct(spark, sf_dir):
 @query
 def page_ids_segments(spark, sf_dir):
     return pages.page_item_ids(
-        spread(table(spark, sf_dir, "pages")), "segments", keep=["page_id"], length=5, marks=("/",)
+        dealt(table(spark, sf_dir, "pages")), "segments", keep=["page_id"], length=5, marks=("/",)
     )
 
 
@@ -381,12 +407,12 @@ def page_fields(spark, sf_dir):
         "list": pages.FieldRule((tag("ul"),)),
         "aside": pages.FieldRule((tag("aside"),)),
     }
-    return pages.page_fields(spread(table(spark, sf_dir, "pages")), rules, ["page_id"])
+    return pages.page_fields(dealt(table(spark, sf_dir, "pages")), rules, ["page_id"])
 
 
 @query
 def page_status(spark, sf_dir):
-    stored = spread(table(spark, sf_dir, "pages"))
+    stored = dealt(table(spark, sf_dir, "pages"))
     blocked = pages.is_blocked(F.col("html"), ('lang="de"', "nicht aulich"))
     return stored.select(
         "page_id",
@@ -396,7 +422,7 @@ def page_status(spark, sf_dir):
 
 @query
 def blocked_rate(spark, sf_dir):
-    return pages.blocked_rate(spread(table(spark, sf_dir, "pages")), ("nicht aulich",)).select(
+    return pages.blocked_rate(dealt(table(spark, sf_dir, "pages")), ("nicht aulich",)).select(
         "pages", "blocked", F.round("blocked_rate", 6).alias("blocked_rate")
     )
 
@@ -443,8 +469,10 @@ def item_details_union(spark, sf_dir):
 def _page_listings(spark, sf_dir):
     """Pages as listings: the title, and the text of each paragraph as a bullet."""
     page = markup.visible_markup(F.col("html"))
-    paragraphs = F.regexp_extract_all(page, F.lit("<p>([^<]*)</p>"), F.lit(1))
-    return spread(table(spark, sf_dir, "pages")).select(
+    # from each start tag to the next one or the end tag: unclosed paragraphs end there too
+    whole = r"(?is)<p(?:\s[^>]*)?>(.*?)(?=</p\s*>|<p[\s>]|</article|\z)"
+    paragraphs = F.transform(F.regexp_extract_all(page, F.lit(whole), F.lit(1)), markup.node_text)
+    return dealt(table(spark, sf_dir, "pages")).select(
         F.col("page_id").alias("listing_id"),
         markup.node_text(markup.element_markup(page, markup.open_tag("title"))).alias("title"),
         paragraphs.alias("bullets"),
@@ -461,6 +489,11 @@ def keyword_coverage_totals(spark, sf_dir):
     return keywords.coverage_totals(_page_listings(spark, sf_dir), roles.KEYWORDS)
 
 
+@query
+def keyword_hits(spark, sf_dir):
+    return keywords.keyword_hits(_page_listings(spark, sf_dir), roles.KEYWORDS)
+
+
 @query
 def keyword_placement(spark, sf_dir):
     return keywords.keyword_placement(_page_listings(spark, sf_dir), roles.KEYWORDS).select(

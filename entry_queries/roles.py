@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.sources.readers import spread
+from marketlens.sources import readers
 
 UNREADABLE_SOURCE = "src3"
 EMPTY_SOURCE = "src5"
@@ -23,6 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows over as many tasks as ``spark.marketlens.inputPartitions`` asks for, if it is set.
+
+    For single small files, as in the bench; without the setting nothing is shuffled.
+    """
+    asked = rows.sparkSession.conf.get("spark.marketlens.inputPartitions", None)
+    return readers.spread(rows, int(asked) if asked else None)
+
+
 def damaged(text: Column) -> Column:
     """UTF-8 bytes read as Latin-1."""
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
@@ -32,7 +41,7 @@ def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
     source, text = F.col("source"), F.col("text")
-    return spread(documents).join(labels, "doc_id", "left").select(
+    return dealt(documents).join(labels, "doc_id", "left").select(
         source.alias("ASIN"),
         F.col("doc_id").cast("string").alias("review_id"),
         F.lit("1").alias("review_page"),
@@ -122,7 +131,7 @@ def item_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         unless(4, F.concat(F.lit("<td><span>#1,"), key, F.lit("</span> in Cases (See Top)</td>"))),
         F.lit("</tr></table></html>"),
     )
-    return spread(table(spark, sf_dir, "part")).select(
+    return dealt(table(spark, sf_dir, "part")).select(
         F.lpad(key, 10, "B").alias("item"), F.when(size != 2, html).alias("html")
     )
 

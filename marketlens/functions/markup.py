@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,12 +21,10 @@ from marketlens.functions.text import WHITESPACE, char_class
 
 _SPACE = char_class(WHITESPACE)
 
-# Named character references decoded here; numeric ones are decoded by rule.
+# Named character references decoded here, from the standard library's table of the names that
+# pages use; numeric ones are decoded by rule, and the ampersand comes last.
 NAMED_REFERENCES: dict[str, str] = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "cent": "¢",
-    "pound": "£", "yen": "¥", "euro": "€", "copy": "©", "reg": "®", "trade": "™",
-    "deg": "°", "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—",
-    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "times": "×", "frac12": "½",
+    name: chr(code) for name, code in (*name2codepoint.items(), ("apos", 39)) if name != "amp"
 }
 
 
@@ -37,9 +36,9 @@ def visible_markup(html: Column) -> Column:
 
 # chr() stops at 255, so a code point becomes text through its UTF-32 bytes.
 _CODE = (
-    "CASE WHEN length(ref) > 11 THEN NULL "
-    f"WHEN ref RLIKE '^&#[xX]' THEN try_cast(conv(substring(ref, 4, length(ref) - 4), 16, 10) AS INT) "
-    "ELSE try_cast(substring(ref, 3, length(ref) - 3) AS INT) END"
+    "CASE WHEN ref RLIKE '^&#[xX]0*[0-9a-fA-F]{1,7};' "
+    "THEN cast(conv(regexp_extract(ref, '^&#[xX]0*([0-9a-fA-F]+);', 1), 16, 10) AS INT) "
+    "WHEN ref RLIKE '^&#0*[0-9]{1,9};' THEN cast(regexp_extract(ref, '^&#0*([0-9]+);', 1) AS INT) END"
 )
 _CHARACTER = (
     "code -> CASE WHEN code BETWEEN 1 AND 55295 OR code BETWEEN 57344 AND 1114111 "
@@ -52,9 +51,14 @@ _NUMERIC = (
 
 
 def _sql_unescape() -> str:
-    out = f"CASE WHEN contains(t, '&#') THEN {_NUMERIC} ELSE t END"
-    for name, char in (*NAMED_REFERENCES.items(), ("amp", "&")):
-        out = f"replace({out}, '&{name};', {quoted(char)})"
+    names = ", ".join(f"'&{name};'" for name in NAMED_REFERENCES)
+    signs = ", ".join(quoted(sign) for sign in NAMED_REFERENCES.values())
+    # of a name that is not in the list the text stays as it is
+    sign = f"coalesce(element_at(map_from_arrays(array({names}), array({signs})), ref), ref)"
+    found = "array_distinct(regexp_extract_all(n, '(&[a-zA-Z][a-zA-Z0-9]*;)', 1))"
+    named = f"reduce({found}, n, (acc, ref) -> CASE WHEN ref = '&amp;' THEN acc ELSE replace(acc, ref, {sign}) END)"
+    numeric = f"CASE WHEN contains(t, '&#') THEN {_NUMERIC} ELSE t END"
+    out = f"get(transform(array({numeric}), n -> replace({named}, '&amp;', '&')), 0)"
     return f"t -> CASE WHEN contains(t, '&') THEN {out} ELSE t END"
 
 
@@ -142,11 +146,15 @@ def element_markup(page: Column, start_tag: StartTag) -> Column:
     same_end = rf"concat('(?i)</', tag, {quoted(r'\s*>')})"
     balanced = (
         f"reduce(split(regexp_extract(p, {to_page_end}, 2), {same_end}), "
-        "named_struct('depth', 1, 'started', false, 'seen', ''), "
+        "named_struct('depth', 1, 'pieces', 0), "
         "(s, piece) -> CASE WHEN s.depth <= 0 THEN s ELSE named_struct("
         f"'depth', cast(s.depth + regexp_count(piece, {same_start}) - 1 AS INT), "
-        "'started', true, 'seen', concat(s.seen, "
-        "CASE WHEN s.started THEN concat('</', tag, '>') ELSE '' END, piece)) END).seen"
+        "'pieces', s.pieces + 1) END).pieces"
+    )
+    # so many pieces between end tags make the element; they are put together once
+    balanced = (
+        f"get(transform(array({balanced}), k -> array_join(slice(split("
+        f"regexp_extract(p, {to_page_end}, 2), {same_end}), 1, k), concat('</', tag, '>'))), 0)"
     )
     or_balanced = f"tag -> CASE WHEN regexp_count(m, {same_start}) > 0 THEN {balanced} ELSE m END"
     found = (

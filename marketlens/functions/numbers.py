@@ -17,9 +17,12 @@ def rating_value(text: Column) -> Column:
 
 
 def first_integer(text: Column, default: int = 0) -> Column:
-    """First run of digits as bigint, or ``default`` where there is none."""
-    found = F.regexp_extract(text, "([0-9]+)", 1).try_cast("bigint")
-    return F.coalesce(found, F.lit(default).cast("bigint"))
+    """First run of digits as bigint, or ``default`` where there is none.
+
+    Null where the number is too large for bigint, so it doesn't pass for a missing one.
+    """
+    found = F.regexp_extract(F.coalesce(text, F.lit("")), "([0-9]+)", 1)
+    return F.when(found == "", F.lit(default).cast("bigint")).otherwise(found.try_cast("bigint"))
 
 
 def price_value(text: Column) -> Column:

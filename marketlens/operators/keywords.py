@@ -36,7 +36,8 @@ def coverage(title: Column, keyword: str) -> Column:
     def bounded(word: str) -> str:
         return rf"(?<![a-z0-9]){word}(?![a-z0-9])"
 
-    in_order = lowered.rlike("(?s)" + ".*".join(bounded(w) for w in words))
+    # The first place of each word behind the last one settles the order, so no step is retried.
+    in_order = lowered.rlike("(?s)^" + "".join(rf"(?>.*?{bounded(w)})" for w in words))
     # Which word comes how often does not matter here, only that each one occurs.
     all_there = F.lit(True)
     for word in dict.fromkeys(words):
@@ -74,11 +75,62 @@ def keyword_coverage(
     )
 
 
+def _keyword_words(listings: DataFrame, keywords: Sequence[str] | DataFrame) -> DataFrame:
+    """``keyword``, its ``words`` in order, and the longest one as ``key``."""
+    if not isinstance(keywords, DataFrame):
+        if not keywords:
+            raise ValueError("at least one keyword is needed")
+        keywords = listings.sparkSession.createDataFrame([(k,) for k in keywords], "keyword string")
+    words = F.regexp_extract_all(F.lower("keyword"), F.lit("([a-z0-9]+)"), F.lit(1))
+    sized = F.transform("words", lambda w: F.struct(F.length(w).alias("size"), w.alias("word")))
+    return keywords.select("keyword", words.alias("words")).where(F.size("words") > 0).withColumn(
+        "key", F.array_max(sized)["word"]
+    )
+
+
+def keyword_hits(
+    listings: DataFrame, keywords: Sequence[str] | DataFrame, title: str = "title",
+    keep: Sequence[str] = ("listing_id",),
+) -> DataFrame:
+    """Only the pairs of title and keyword that are covered: ``keyword`` and ``coverage``.
+
+    ``keywords`` is a list or a table with a ``keyword`` column, of any length. A title is split
+    into words once and joined with the keywords on their longest word, so a keyword meets the
+    titles that hold that word and no others. The rest of its words are then looked up, each
+    behind the one before it.
+    """
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(title), F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
+    split = listings.select(*keep, tokens.alias("_tokens"))
+    meeting = split.select("*", F.explode(F.array_distinct("_tokens")).alias("key")).join(
+        _keyword_words(listings, keywords), "key"
+    )
+    there = F.forall("words", lambda w: F.array_contains(F.col("_tokens"), w))
+
+    def behind(at: Column, word: Column) -> Column:
+        rest = F.slice(F.col("_tokens"), at + 1, F.size("_tokens"))
+        found = F.array_position(rest, word).cast("int")
+        return F.when((at >= 0) & (found > 0), at + found).otherwise(F.lit(-1))
+
+    in_order = F.aggregate("words", F.lit(0), behind) > 0
+    return meeting.where(there).select(
+        *keep, "keyword", F.when(in_order, F.lit("Yes")).otherwise(F.lit("Partial")).alias("coverage")
+    )
+
+
 def coverage_totals(
-    listings: DataFrame, keywords: Sequence[str], title: str = "title"
+    listings: DataFrame, keywords: Sequence[str] | DataFrame, title: str = "title"
 ) -> DataFrame:
-    """Titles per keyword and coverage, which stays small however many titles there are."""
-    return ranking.counts(keyword_coverage(listings, keywords, title, ()), "keyword", "coverage")
+    """Titles per keyword and coverage; those without the keyword are the rest of all titles."""
+    hits = ranking.counts(keyword_hits(listings, keywords, title, ()), "keyword", "coverage")
+    names = keywords if isinstance(keywords, DataFrame) else listings.sparkSession.createDataFrame(
+        [(k,) for k in keywords], "keyword string"
+    )
+    whole = listings.agg(F.count(F.lit(1))).scalar()
+    covered = hits.groupBy("keyword").agg(F.sum("n").alias("covered"))
+    rest = names.select("keyword").distinct().join(covered, "keyword", "left").select(
+        "keyword", F.lit("No").alias("coverage"), (whole - F.coalesce("covered", F.lit(0))).alias("n")
+    )
+    return hits.unionByName(rest.where("n > 0"))
 
 
 def matching_bullets(

@@ -63,13 +63,23 @@ def ids_with_fallback(
     attribute: str = "data-asin",
     length: int = fv.ID_LENGTH,
     pattern: str = fv.ID_PATTERN,
-    minimum: int = fv.MIN_ATTRIBUTE_IDS,
-    cap: int = fv.MAX_IDS_PER_PAGE,
+    minimum: int | None = None,
+    cap: int | None = None,
 ) -> Column:
-    """Attribute ids; with fewer than ``minimum`` of them, link ids follow. First ``cap``."""
+    """Attribute ids, then link ids.
+
+    With ``minimum``, link ids follow only where there are fewer attribute ids than that; with
+    ``cap``, only so many ids of a page are kept. Both drop ids, so neither is on by default;
+    ``MIN_ATTRIBUTE_IDS`` and ``MAX_IDS_PER_PAGE`` are the crawler's values.
+    """
     first = ids_from_attribute(page, attribute, length)
     both = F.array_distinct(F.concat(first, ids_from_pattern(markup.links(page), pattern)))
-    return F.slice(F.when(F.size(first) < minimum, both).otherwise(first), 1, cap)
+    ids = both if minimum is None else F.when(F.size(first) < minimum, both).otherwise(first)
+    return _first_ones(ids, cap)
+
+
+def _first_ones(ids: Column, cap: int | None) -> Column:
+    return ids if cap is None else F.slice(ids, 1, cap)
 
 
 def page_links(pages: DataFrame, keep: Sequence[str] = ("url",)) -> DataFrame:
@@ -84,26 +94,28 @@ def page_item_ids(
     pages: DataFrame,
     method: str = "attribute_then_links",
     keep: Sequence[str] = ("url",),
+    skip_blocked: bool = False,
+    cap: int | None = None,
     **options,
 ) -> DataFrame:
     """One row per page and id in page order: ``position``, ``ASIN`` and ``detail_url``.
 
     ``method`` is ``attribute_then_links``, ``attribute``, ``links`` or ``segments``.
-    Blocked pages give no ids. Only the first two cap the ids of a page.
+    ``skip_blocked`` leaves out pages that ask for a captcha, as a crawler that reads pages one by
+    one does; ``cap`` keeps the first ids of each page only.
     """
     page = markup.visible_markup(F.col("html"))
-    cap = options.pop("cap", fv.MAX_IDS_PER_PAGE)
     if method == "attribute_then_links":
         ids = ids_with_fallback(page, cap=cap, **options)
     elif method == "attribute":
-        ids = F.slice(ids_from_attribute(page, **options), 1, cap)
+        ids = _first_ones(ids_from_attribute(page, **options), cap)
     elif method == "links":
-        ids = ids_from_pattern(markup.links(page), **options)
+        ids = _first_ones(ids_from_pattern(markup.links(page), **options), cap)
     elif method == "segments":
-        ids = ids_from_segments(markup.links(page), **options)
+        ids = _first_ones(ids_from_segments(markup.links(page), **options), cap)
     else:
         raise ValueError(f"unknown method {method!r}")
-    open_pages = pages.filter(~is_blocked(F.col("html")))
+    open_pages = pages.filter(~is_blocked(F.col("html"))) if skip_blocked else pages
     return open_pages.select(*keep, F.posexplode(ids).alias("position", "ASIN")).select(
         *keep,
         (F.col("position") + 1).cast("bigint").alias("position"),
@@ -208,10 +220,12 @@ def price_text(page: Column) -> Column:
 
 _RANK_SPAN = rf"<(?i:span)\b[^>]*>{fv.RANK_LABEL}</(?i:span)\s*>"
 _RANK_CELL = (
-    rf"<(?i:td)\b[^>]*>(?:<[a-zA-Z][^>]*>){{0,50}}+[^<]*{fv.RANK_LABEL}[^<]*(?:</[^>]*>){{0,50}}?</(?i:td)\s*>"
+    rf"<(?i:td)\b[^>]*>(?:<[a-zA-Z][^>]*>)*+[^<]*{fv.RANK_LABEL}[^<]*(?:</(?!(?i:td)[\s>])[^>]*>)*+</(?i:td)\s*>"
+)
+# What follows the label up to the next start tag, and that tag; elements balance from there.
+_AFTER_LABEL = markup.StartTag(
+    rf"{_RANK_SPAN}(?>(?s:.*?)<(?=[a-zA-Z]))([a-zA-Z][a-zA-Z0-9]*)\b[^>]*>", (fv.RANK_LABEL,)
 )
-# The next start tag after the label, then its content up to the matching end tag.
-_AFTER_LABEL = rf"{_RANK_SPAN}(?>(?s:.*?)<([a-zA-Z][a-zA-Z0-9]*)\b[^>]*>)((?s:.*?))</(?i:\1)\s*>"
 
 
 def rank_text(page: Column) -> Column:
@@ -226,7 +240,7 @@ def rank_text(page: Column) -> Column:
     row_inner = F.regexp_extract(row, r"(?is)^[^>]*>(.*?)(?:</tr\s*>|\z)", 1)
     beside = (
         F.when(~F.contains(page, F.lit(fv.RANK_LABEL)), F.lit(""))
-        .when(page.rlike(_RANK_SPAN), F.regexp_extract(page, _AFTER_LABEL, 2))
+        .when(page.rlike(_RANK_SPAN), F.coalesce(markup.element_markup(page, _AFTER_LABEL), F.lit("")))
         .when(page.rlike(_RANK_CELL), row_inner)
         .otherwise(F.lit(""))
     )
@@ -278,7 +292,9 @@ def product_details(pages: DataFrame, item_id: Column) -> DataFrame:
     def unless_blocked(value: Column) -> Column:
         return F.when(~F.col("_blocked"), value)
 
-    broken = _rank_unreadable(page)
+    broken = F.col("_broken")
+    # the generator keeps the test from being built into both columns that use it
+    read = read.select("*", F.explode(F.array(_rank_unreadable(page))).alias("_broken"))
     return read.select(
         "ASIN",
         unless_blocked(field_text(page, DETAIL_RULES["Title"])).alias("Title"),

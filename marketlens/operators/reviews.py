@@ -98,9 +98,14 @@ def clean_reviews(
     unique_ids: bool = False,
     garbled_markers: str = fv.GARBLED_MARKERS,
 ) -> DataFrame:
-    """Raw reviews to cleaned reviews; ``unique_ids`` keeps one row per ``review_id``."""
+    """Raw reviews to cleaned reviews; ``unique_ids`` keeps one row per ``review_id``.
+
+    Of several rows, the one whose columns come first in ascending order stays, so a second run
+    gives the same rows. A missing id is an id of its own.
+    """
     if unique_ids:
-        raw = raw.dropDuplicates(["review_id"])
+        row = F.struct(*raw.columns)
+        raw = raw.groupBy("review_id").agg(F.min_by(row, F.struct(*(F.col(c).cast("string") for c in raw.columns))).alias("r")).select("r.*")
     return kept_reviews(tag_reviews(raw, threshold, garbled_markers), stopwords)
 
 

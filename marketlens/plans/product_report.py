@@ -19,8 +19,12 @@ def product_report(
     checked = readers.missing_to_null(readers.require_columns(table))
     path = f"{out_dir}/products_priced"
     priced = products.priced_products(checked, pattern)
-    stored = writers.staged(priced, f"{out_dir}/work")
-    writers.write_table(stored, path, file_format)
+    if file_format == "parquet":  # the target itself is what the charts read
+        priced.write.mode("overwrite").parquet(path)
+        stored = priced.sparkSession.read.schema(priced.schema).parquet(path)
+    else:
+        stored = writers.staged(priced, f"{out_dir}/work")
+        writers.write_table(stored, path, file_format)
     return {
         "counts": products.product_counts(checked, pattern),
         "histogram": products.price_histogram(stored),

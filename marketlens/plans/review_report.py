@@ -12,22 +12,36 @@ from marketlens.operators import reviews, summary
 from marketlens.sources import writers
 
 
+# What the statistics of the summary read; the texts themselves are not among it.
+STATISTIC_COLUMNS: tuple[str, ...] = (
+    "ASIN", "is_verified_purchase", "review_rating_value", "review_char_length",
+    "review_word_count", "polarity", "tokens", "themes", "drop_reason",
+)
+
+
 def staged_reviews(
     raw: DataFrame,
     threshold: float = fv.LETTER_SHARE_THRESHOLD,
     lexicon: Mapping[str, Sequence[str]] = fv.THEME_LEXICON,
     stopwords: Sequence[str] = fv.STOPWORDS,
     folder: str | None = None,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """All reviews, repaired and enriched, as a stored table with ``drop_reason``.
 
-    This is the one pass over the texts; everything later reads columns of its result.
+    This is the one pass over the texts; everything later reads columns of its result. With
+    ``columns`` only those are stored, and dropped reviews keep nothing but their reason.
     """
     tagged = reviews.tag_reviews(raw, threshold)
     enriched = reviews.enrich_reviews(tagged, lexicon, stopwords)
     measured = reviews.measure_reviews(enriched, stopwords).withColumn(
         "review_word_count", F.size("tokens").cast("bigint")
     )
+    if columns is not None:
+        fine = F.col("drop_reason").isNull()
+        measured = measured.select(
+            *(F.col(c) if c == "drop_reason" else F.when(fine, F.col(c)).alias(c) for c in columns)
+        )
     return writers.staged(measured, folder)
 
 

@@ -35,33 +35,37 @@ def read_text_table(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
     )
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Any of the tables from Parquet, or from CSV where the path says so."""
-    if path.rstrip("/").endswith((".csv", ".csv.gz")):
-        return read_text_table(spark, path)
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, file_format: str | None = None) -> DataFrame:
+    """Any of the tables, ``file_format`` being ``csv`` or ``parquet``.
+
+    Without it, a path that ends in a CSV suffix is read as CSV and any other as Parquet; a
+    folder of CSV parts under another name needs the format.
+    """
+    csv = path.rstrip("/").endswith((".csv", ".csv.gz")) if file_format is None else file_format == "csv"
+    if file_format not in (None, "csv", "parquet"):
+        raise ValueError(f"unknown format {file_format!r}")
+    return read_text_table(spark, path) if csv else spark.read.parquet(path)
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """Rows over all cores where the input has fewer splits than there are cores.
+def spread(table: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Rows dealt over ``partitions`` tasks, or the table as it is.
 
-    A CSV file with line breaks in cells or a file of one row group is read by one task,
-    which would then do all of the text work too. Large inputs have more splits than cores
-    and come back as they are, so they are never shuffled for this. Only for tables straight
-    from files: counting the splits of anything with a shuffle in it would run the shuffle.
+    A CSV file with line breaks in cells or a file of one row group is read by one task, which
+    then does all of the text work too; whoever reads such a file says how many tasks should.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    return table if partitions is None else table.repartition(partitions)
 
 
-def read_reviews(spark: SparkSession, path: str) -> DataFrame:
+def read_reviews(
+    spark: SparkSession, path: str, partitions: int | None = None, file_format: str | None = None
+) -> DataFrame:
     """Raw reviews; see ``REVIEW_COLUMNS`` for the columns that are used."""
-    return spread(read_table(spark, path))
+    return spread(read_table(spark, path, file_format), partitions)
 
 
-def read_crawl_log(spark: SparkSession, path: str) -> DataFrame:
+def read_crawl_log(spark: SparkSession, path: str, file_format: str | None = None) -> DataFrame:
     """Crawl status rows; see ``STATUS_COLUMNS`` for the columns that are used."""
-    return read_table(spark, path)
+    return read_table(spark, path, file_format)
 
 
 def require_columns(
@@ -90,9 +94,9 @@ def read_products(spark: SparkSession, path: str) -> DataFrame:
     return missing_to_null(require_columns(read_table(spark, path)))
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """Stored pages: ``url`` and ``html``, one row each."""
-    return spread(require_columns(spark.read.parquet(path), ("url", "html")))
+    return spread(require_columns(spark.read.parquet(path), ("url", "html")), partitions)
 
 
 def read_keywords(spark: SparkSession, path: str) -> DataFrame:

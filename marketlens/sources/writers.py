@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
@@ -48,7 +47,8 @@ def write_json_document(one_row: DataFrame, path: str, pretty: bool = True) -> N
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``, for tables in between.
 
-    Only a local session without that setting gets a folder of its own.
+    Without that setting a local session uses its warehouse; nothing goes to a temporary folder
+    of one machine.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -56,8 +56,8 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="marketlens-"))
-    return context.getCheckpointDir()
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None) or "spark-warehouse"
+    return f"{warehouse.rstrip('/')}/marketlens-work"
 
 
 def staged(table: DataFrame, folder: str | None = None) -> DataFrame:

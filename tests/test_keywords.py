@@ -160,3 +160,22 @@ def test_bounded_list(curated):
     assert len(readers.bounded_list(curated, "Keyword")) == 30
     with pytest.raises(ValueError):
         readers.bounded_list(curated, "Keyword", 29)
+
+
+def test_hits_are_the_covered_cells(spark, listings):
+    table = spark.createDataFrame([(k,) for k in COVERAGE], "keyword string")
+    cells = {(r.listing_id, r.keyword): r.coverage for r in keywords.keyword_coverage(listings, list(COVERAGE)).collect()}
+    hits = {(r.listing_id, r.keyword): r.coverage for r in keywords.keyword_hits(listings, table).collect()}
+    assert hits == {k: v for k, v in cells.items() if v != "No"}
+
+
+def test_a_long_title_without_the_last_word(spark):
+    import time
+
+    title = " ".join(["of", "the", "and", "to", "x"] * 1000)
+    table = spark.createDataFrame([(title,)], "title string")
+    start = time.perf_counter()
+    assert keywords.keyword_coverage(table, ["of the and to zebra"], keep=()).first().coverage == "No"
+    assert keywords.keyword_hits(table, ["of the and to zebra"], keep=()).count() == 0
+    assert keywords.keyword_hits(table, ["x to of"], keep=()).first().coverage == "Yes"
+    assert time.perf_counter() - start < 10

@@ -61,3 +61,7 @@ def test_ratio(spark):
     table = spark.createDataFrame([(1, 4), (1, 0), (None, 2)], "a int, b int")
     got = [r[0] for r in table.select(numbers.ratio(F.col("a"), F.col("b"))).collect()]
     assert got == [0.25, 0.0, 0.0]
+
+
+def test_too_large_an_integer_is_null(values_of):
+    assert values_of(numbers.first_integer, ["12345678901234567890 people", "none", "7"]) == [None, 0, 7]

@@ -5,6 +5,8 @@ import os
 import pytest
 
 import __spark_entry__ as driver
+from entry_queries.oracle import ORACLE
+from entry_queries.queries import REGISTRY
 from tests.oracle_compare import connect, differences
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -17,13 +19,13 @@ def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_against_sql(spark, duck, name):
-    assert differences(driver.queries()[name](spark, SF_DIR), duck, driver.oracle_sql()[name]) is None
+    assert differences(REGISTRY[name](spark, SF_DIR), duck, ORACLE[name]) is None
 
 
-def test_every_query_but_the_json_text_has_sql():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == {"summary_json"}
+def test_every_query_has_sql():
+    assert set(REGISTRY) == set(ORACLE)
     assert set(driver.oracle_sql()) <= set(driver.queries())
 
 

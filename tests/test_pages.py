@@ -101,11 +101,15 @@ def test_ids_from_attribute(value_of):
 
 def test_ids_fallback(value_of):
     few, many = ids(9), ids(10)
+
+    def crawled(page):
+        return pages.ids_with_fallback(page, minimum=fv.MIN_ATTRIBUTE_IDS, cap=fv.MAX_IDS_PER_PAGE)
+
     link = link_page(["/dp/B0ABCDEFGH?ref=1", "/dp/" + few[0], "/dp/tooshort"])
-    assert value_of(pages.ids_with_fallback, attribute_page(few) + link) == few + ["B0ABCDEFGH"]
-    assert value_of(pages.ids_with_fallback, attribute_page(many) + link) == many
-    assert value_of(pages.ids_with_fallback, attribute_page(ids(40)) + link) == ids(30)
-    assert value_of(pages.ids_with_fallback, "<p>none</p>") == []
+    assert value_of(crawled, attribute_page(few) + link) == few + ["B0ABCDEFGH"]
+    assert value_of(crawled, attribute_page(many) + link) == many
+    assert value_of(crawled, attribute_page(ids(40)) + link) == ids(30)
+    assert value_of(crawled, "<p>none</p>") == []
 
 
 def test_page_item_ids(spark):
@@ -114,7 +118,7 @@ def test_page_item_ids(spark):
          ("u4", attribute_page(ids(3)))],
         "url string, html string",
     )
-    found = pages.page_item_ids(table, "attribute")
+    found = pages.page_item_ids(table, "attribute", skip_blocked=True)
     rows = [(r.url, r.position, r.ASIN) for r in found.orderBy("url", "position").collect()]
     assert rows == [("u1", i + 1, a) for i, a in enumerate(ids(12))] + [
         ("u4", i + 1, a) for i, a in enumerate(ids(3))
@@ -221,3 +225,57 @@ def test_union_ragged(spark):
     assert rows == {("1", "x", None), ("2", None, "bad")}
     with pytest.raises(ValueError):
         writers.union_ragged()
+
+
+def test_ids_are_whole_by_default(spark):
+    many = "".join(f'<li data-asin="B{i:09d}"></li>' for i in range(45))
+    page = f"<script>var captcha=1</script>{many}<a href=\"/dp/B999999999\">captcha</a>"
+    table = spark.createDataFrame([("u", page)], "url string, html string")
+
+    def ids(method, **options):
+        return [r.ASIN for r in pages.page_item_ids(table, method, **options).orderBy("position").collect()]
+
+    assert len(ids("attribute_then_links")) == 46
+    assert len(ids("attribute_then_links", minimum=10, cap=30)) == 30
+    assert len(ids("attribute")) == 45
+    assert ids("links") == ids("segments") == ["B999999999"]
+    for method in ("attribute_then_links", "attribute", "links", "segments"):
+        assert ids(method, skip_blocked=True) == []
+
+
+@pytest.mark.parametrize("depth", [0, 50, 51, 300])
+def test_rank_in_a_deep_cell(value_of, depth):
+    page = f"<table><tr><td>{'<b>' * depth}Best Sellers Rank{'</b>' * depth}</td><td>#77 in x</td></tr></table>"
+    assert value_of(pages.rank_text, page) == "77"
+
+
+def test_rank_behind_nested_elements(value_of):
+    page = "<span>Best Sellers Rank</span><div><div>x</div>#5</div>"
+    assert value_of(pages.rank_text, page) == "5"
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [("&#00000000065;", "A"), ("&#x0000000041;", "A"), ("&eacute;&uuml;&ntilde;&szlig;", "éüñß"),
+     ("&amp;lt; &lt;", "&lt; <"), ("&nosuch; &#99999999999;", "&nosuch; \ufffd")],
+)
+def test_references(value_of, text, want):
+    from marketlens.functions import markup
+
+    assert value_of(markup.unescape, text) == want
+
+
+def test_every_paragraph_is_a_bullet(spark):
+    import os
+    import re
+
+    from entry_queries.queries import _page_listings
+    from entry_queries.roles import table
+    from marketlens.functions import markup
+
+    sf_dir = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(sf_dir):
+        pytest.skip("no test data")
+    stored = table(spark, sf_dir, "pages").select(markup.visible_markup(F.col("html")).alias("page")).collect()
+    starts = sum(len(re.findall(r"(?i)<p[\s>]", r.page)) for r in stored)
+    assert _page_listings(spark, sf_dir).agg(F.sum(F.size("bullets"))).first()[0] == starts

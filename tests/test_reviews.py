@@ -186,3 +186,12 @@ def test_csv_sink_keeps_text(spark, tmp_path):
     assert {tuple(r) for r in back.collect()} == {('é "q", x', None), (None, "y")}
     with pytest.raises(ValueError):
         writers.write_table(table, path, "xml")
+
+
+def test_unique_ids_are_repeatable(spark):
+    rows = [("r1", "b", "5.0"), ("r1", "a", "1.0"), ("r2", "c", "3.0")]
+    names = "review_id string, review_text string, review_rating_text string"
+    for order in (rows, rows[::-1]):
+        raw = spark.createDataFrame(order, names).repartition(2)
+        got = {r.review_id: r.review_text for r in reviews.clean_reviews(raw, threshold=0.0, unique_ids=True).collect()}
+        assert got == {"r1": "a", "r2": "c"}

@@ -57,14 +57,20 @@ def test_empty_table_writes_nothing(spark, tmp_path):
     assert writers.write_table(spark.range(1), str(path))
 
 
-def test_spread_only_where_splits_are_few(spark, tmp_path):
+def test_spread_only_where_it_is_asked_for(spark, tmp_path):
     path = str(tmp_path / "one")
     spark.range(100).coalesce(1).write.parquet(path)
     few = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    assert readers.spread(few).rdd.getNumPartitions() == cores
-    many = spark.range(100).repartition(cores + 1, F.rand())
-    assert readers.spread(many) is many
+    assert readers.spread(few) is few
+    assert readers.spread(few, 5).rdd.getNumPartitions() == 5
+
+
+def test_format_of_a_folder_of_csv_parts(spark, tmp_path):
+    path = str(tmp_path / "parts")
+    spark.createDataFrame([("a", "b")], "x string, y string").write.option("header", True).csv(path)
+    assert [tuple(r) for r in readers.read_table(spark, path, "csv").collect()] == [("a", "b")]
+    with pytest.raises(ValueError):
+        readers.read_table(spark, path, "orc")
 
 
 def test_staged_table_starts_from_files(spark, tmp_path):
