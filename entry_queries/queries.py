@@ -292,8 +292,8 @@ def price_histogram(spark, sf_dir):
     )
 
 
-def _rounded_density(priced: DataFrame) -> DataFrame:
-    return products.price_density(priced).select(
+def _rounded_density(priced: DataFrame, merge_equal: bool = True) -> DataFrame:
+    return products.price_density(priced, merge_equal=merge_equal).select(
         "point", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"),
         F.round("scaled", 4).alias("scaled"),
     )
@@ -306,7 +306,7 @@ def price_density(spark, sf_dir):
 
 @query
 def value_density(spark, sf_dir):
-    return _rounded_density(roles.priced_events(spark, sf_dir))
+    return _rounded_density(roles.priced_events(spark, sf_dir), merge_equal=False)
 
 
 @query

@@ -180,3 +180,11 @@ def test_product_report(spark, tmp_path):
     stored = spark.read.parquet(f"{tmp_path}/products_priced")
     assert stored.columns == [*table.columns, "Price_Clean", "Title_Lower"]
     assert stored.count() == 2
+
+
+def test_values_that_are_not_finite_do_not_count(spark):
+    table = spark.createDataFrame([(1.0,), (2.0,), (float("inf"),), (float("nan"),), (None,)], "Price_Clean double")
+    assert sum(r.n for r in products.price_histogram(table).collect()) == 2
+    merged = {r.point: r.density for r in products.price_density(table).collect()}
+    straight = {r.point: r.density for r in products.price_density(table, merge_equal=False).collect()}
+    assert len(merged) == 200 and all(abs(merged[p] - straight[p]) < 1e-12 for p in merged)
