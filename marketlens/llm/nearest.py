@@ -17,6 +17,8 @@ SHARD_ROWS = 16_384
 QUERY_ROWS = 4_096
 #: Queries that walk at once.
 WALK_ROWS = 256
+#: Width of the beam that queries use, wider than the builder's.
+SEARCH_BEAM = 128
 
 
 def usable_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -32,7 +34,7 @@ def usable_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 def nearest_vectors(
     vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding",
-    shard_rows: int = SHARD_ROWS, beam: int = vector_graph.BEAM,
+    shard_rows: int = SHARD_ROWS, beam: int = SEARCH_BEAM,
 ) -> DataFrame:
     """The ``k`` nearest found of every query, among all rows but those with its own id.
 

@@ -8,6 +8,8 @@ import numpy as np
 DEGREE = 32
 BEAM = 64
 ALPHA = 1.2
+#: Points at which walks begin, the middle and random ones, so that far clusters are reached.
+ENTRIES = 64
 #: Vectors that search the graph at once while it is built.
 STEP = 512
 
@@ -96,7 +98,7 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: flo
     first = min(degree // 2, count - 1)
     edges[:, :first] = rng.integers(0, count, (count, first))
     middle = np.argmin(((points - points.mean(0)) ** 2).sum(1))
-    entries = np.unique(np.concatenate([[middle], rng.choice(count, min(7, count), replace=False)]))
+    entries = np.unique(np.concatenate([[middle], rng.choice(count, min(ENTRIES - 1, count), replace=False)]))
     order = rng.permutation(count)
     for begin in range(0, count, STEP):
         block = order[begin : begin + STEP]
