@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.llm.components import components
@@ -20,6 +20,10 @@ PERCENT = 80
 TREE_SHINGLES = 500_000
 #: Rounds of comparing groups with one set each go on while they link this share of the sets.
 MERGING = 0.05
+#: Sets of each group that the last round compares with the others.
+PIVOTS = 8
+#: Sets of one block of a group.
+GROUP_SETS = 4_096
 
 
 def _profiled(documents: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -136,30 +140,33 @@ def _set_classes(
     )
     postings = heads.select("set_number", "n", F.explode("head").alias("shingle"))
     shared = postings.groupBy("shingle").count().where("count > 1").select("shingle")
-    groups = durable(
-        postings.join(shared, "shingle").groupBy("shingle", "set_number").agg(F.min("n").alias("n"))
-    )
+    members = postings.join(shared, "shingle").groupBy("shingle", "set_number").agg(F.min("n").alias("n"))
+    live = durable(_mixed(members, None))
     sets = _Sets(documents, profile, key, text, words, percent, rank)
-    heads = groups.groupBy("set_number").agg(F.collect_list("shingle").alias("head"))  # a set's own prefix
-    known, live, merging = None, groups, True
-    while merging:
-        live = durable(_mixed(live, known))
-        if live.isEmpty():
-            break
-        pivots = live.groupBy("shingle").agg(F.min_by(F.struct("set_number", "component", "n"), "set_number").alias("p"))
-        pairs = (
-            live.join(pivots, "shingle").where("set_number <> p.set_number and component <> p.component")
-            .where(f"100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
-            .select(F.col("set_number").alias("member"), "n", F.col("p.set_number").alias("pivot"), F.col("p.n").alias("m"))
-            .distinct()
-        )
-        pairs = durable(_enough_in_prefix(pairs, heads, percent))
-        links = durable(sets.star_links(pairs))
+    heads = durable(live.groupBy("set_number").agg(F.collect_list("shingle").alias("head")))  # a set's own prefix
+    known, pivots = None, 1
+    while not live.isEmpty():
+        chosen = live.where(F.col("place") <= pivots).select(
+            "shingle", F.col("set_number").alias("pivot"), F.col("n").alias("m"), F.col("component").alias("other")
+        )
+        if pivots == 1:  # the group's first set is with each of its rows
+            met = live.select("*", F.col("first.set_number").alias("pivot"), F.col("first.n").alias("m"), F.col("first.component").alias("other"))
+        else:
+            met = live.join(chosen, "shingle")
+        pairs = durable(
+            met.where("set_number > pivot and component <> other")
+            .where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+            .select(F.col("set_number").alias("member"), "n", "pivot", "m").distinct()
+        )
+        links = durable(sets.star_links(durable(_enough_in_prefix(pairs, heads, percent))))
         found = links.count()
         known = _merged(known, links) if found else known
-        merging = found > MERGING * live.select("set_number").distinct().count()
-        live = live.join(pivots.select("shingle", F.col("p.set_number").alias("set_number")), ["shingle", "set_number"], "left_anti")
-    live = durable(_mixed(live, known))
+        little = found <= MERGING * live.select("set_number").distinct().count()
+        live = durable(_mixed(live.where(F.col("place") > pivots), known))
+        if pivots > 1:
+            break
+        if little:
+            pivots = PIVOTS
     if not live.isEmpty():
         links = durable(sets.block_links(live))
         known = known if links.isEmpty() else _merged(known, links)
@@ -169,14 +176,23 @@ def _set_classes(
 
 
 def _mixed(groups: DataFrame, known: DataFrame | None) -> DataFrame:
-    """Members, with their classes so far, of the groups that hold more than one class."""
-    labelled = groups.select("shingle", "set_number", "n").withColumn("component", F.col("set_number"))
-    if known is not None:
-        labelled = groups.select("shingle", "set_number", "n").join(known, "set_number", "left").withColumn(
+    """Members of the groups that hold more than one class, with their class so far, their place in
+    the group and the group's first member; one shuffle, or none if the groups are together."""
+    members = groups.select("shingle", "set_number", "n")
+    if known is None:
+        members = members.withColumn("component", F.col("set_number"))
+    else:
+        members = members.join(small(known, known.count()), "set_number", "left").withColumn(
             "component", F.coalesce("component", "set_number")
         )
-    several = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return labelled.join(several.where("low < high").select("shingle"), "shingle")
+    ordered = Window.partitionBy("shingle").orderBy("set_number")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return (
+        members.withColumn("place", F.row_number().over(ordered))
+        .withColumn("low", F.min("component").over(whole)).withColumn("high", F.max("component").over(whole))
+        .withColumn("first", F.first(F.struct("set_number", "n", "component")).over(whole))
+        .where("low < high").drop("low", "high")
+    )
 
 
 def _merged(known: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -193,8 +209,9 @@ def _enough_in_prefix(pairs: DataFrame, heads: DataFrame, percent: int) -> DataF
         return f"({n} - ({n} + 1 - cast(ceil({n} * {percent} / 100) as long)))"
 
     need = f"cast(ceil({percent} * (n + m) / {100 + percent}) as long) - greatest({tail('n')}, {tail('m')})"
+    rows = small(pairs, pairs.count())
     return (
-        pairs.join(heads.withColumnRenamed("set_number", "member"), "member")
+        heads.join(rows, F.col("set_number") == F.col("member")).drop("set_number")
         .join(heads.select(F.col("set_number").alias("pivot"), F.col("head").alias("other")), "pivot")
         .where(F.size(F.array_intersect("head", "other")) >= F.expr(need))
         .select("pivot", "member", "n", "m")
@@ -208,10 +225,11 @@ class _Sets:
         self.documents, self.profile, self.key, self.text = documents, profile, key, text
         self.words, self.percent, self.rank = words, percent, rank
 
-    def fetched(self, jobs: DataFrame) -> DataFrame:
+    def fetched(self, jobs: DataFrame, narrow: bool) -> DataFrame:
         """``jobs`` with the ``shingles`` of their ``set_number``, in falling order.
 
-        One document of each wanted set is read again; its sets are not kept in between.
+        One document of each wanted set is read again; its sets are not kept in between. ``narrow``
+        jobs are a few numbers a row, so a counted number of them may be broadcast.
         """
         words, rank = self.words, self.rank
         owners = durable(
@@ -231,7 +249,8 @@ class _Sets:
                 yield _batch(["set_number", "shingles"], [numbers, sets], [pa.int64(), pa.binary()])
 
         sets = texts.select(self.text, "set_number").mapInArrow(whole, "set_number long, shingles binary")
-        return jobs.join(sets.dropDuplicates(["set_number"]), "set_number")
+        jobs = small(jobs, jobs.count()) if narrow else jobs
+        return sets.join(jobs, "set_number")  # a repeated row gives repeated sets
 
     def star_links(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link, as ``a, b``: each pivot walks trees of bounded blocks of its members."""
@@ -241,7 +260,7 @@ class _Sets:
             "pivot", F.pmod(F.xxhash64("member"), "blocks").alias("block"), F.col("member").alias("set_number")
         )
         own = members.select("pivot", "block", F.col("pivot").alias("set_number")).distinct()
-        rows = self.fetched(durable(members.unionByName(own)))
+        rows = self.fetched(durable(members.unionByName(own)), narrow=True)
 
         def walk(job: tuple, held: dict[str, list]) -> tuple[list, list]:
             at = held["set_number"].index(job[0])
@@ -255,32 +274,42 @@ class _Sets:
     def block_links(self, live: DataFrame) -> DataFrame:
         """Links, as ``a, b``, between members of live groups that are of different classes.
 
-        Sets that meet in groups, over any number of steps, form a cluster; clusters are cut into
-        blocks of bounded size and every two blocks of a cluster make a job, so that a set is sent
-        once for each block of its cluster and not for each group.
+        First every group, cut into blocks of bounded size, finds which classes have members that
+        share enough of their prefixes; classes that meet so, over any number of steps, form a
+        cluster. Then clusters are cut into blocks, every two of which make a job, so that a whole
+        set is sent once for each block of its cluster and not for each group.
         """
         percent = self.percent
-        least = live.groupBy("shingle").agg(F.min("set_number").alias("b"))
-        clusters = components(live.join(least, "shingle").select(F.col("set_number").alias("a"), "b").distinct())
-        members = (
-            live.groupBy("set_number").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.collect_list("shingle").alias("head"))
-            .join(clusters.select(F.col("node").alias("set_number"), F.col("component").alias("cluster")), "set_number")
+        heads = live.groupBy("set_number").agg(
+            F.first("n").alias("n"), F.first("component").alias("component"), F.collect_list("shingle").alias("head")
+        )
+        sizes = live.groupBy("shingle").agg(F.ceil(F.count("*") / GROUP_SETS).alias("blocks"))
+        met = live.select("shingle", "set_number").join(sizes, "shingle").join(heads, "set_number")
+        columns = ("low", "high", "own", "set_number", "n", "component", "head")
+        edges = _per_job(
+            _block_pairs(met).select("shingle", *columns), 3,
+            lambda job, held: _cross_links(job[1], job[2], held, percent, whole=False),
         )
+        clusters = components(durable(edges.distinct()))
+        members = heads.join(
+            clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component"
+        )
         sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / TREE_SHINGLES).alias("blocks"))
-        own = F.pmod(F.xxhash64("set_number"), F.col("blocks"))
-        placed = members.join(sizes, "cluster").withColumn("own", own)
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-        jobs = durable(placed.withColumn("other", other).select(
-            "cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-            "own", "set_number", "n", "component", "head",
-        ))
-        rows = self.fetched(jobs)
+        jobs = durable(_block_pairs(members.join(sizes, "cluster")).select("cluster", *columns))
+        return _per_job(
+            self.fetched(jobs, narrow=False).select("cluster", *columns, "shingles"), 3,
+            lambda job, held: _cross_links(job[1], job[2], held, percent),
+        )
 
-        def compare(job: tuple, held: dict[str, list]) -> tuple[list, list]:
-            return _cross_links(job[1], job[2], held, percent)
 
-        columns = ("cluster", "low", "high", "own", "set_number", "n", "component", "head", "shingles")
-        return _per_job(rows.select(*columns), 3, compare)
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """Deals members into ``blocks`` by hash and sends each to all pairs of blocks with its own."""
+    own = F.pmod(F.xxhash64("set_number"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    return (
+        members.withColumn("own", own).withColumn("other", other)
+        .withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    )
 
 
 def _per_job(rows: DataFrame, keys: int, work) -> DataFrame:
@@ -295,7 +324,7 @@ def _per_job(rows: DataFrame, keys: int, work) -> DataFrame:
             a, b = work(at, held)
             return _batch(["a", "b"], [a, b], [pa.int64(), pa.int64()])
 
-        at, held = None, {}
+        at, held, seen = None, {}, set()
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns[: keys]]
             rest = {n: _values(batch.column(keys + i)) for i, n in enumerate(names[keys:])}
@@ -303,7 +332,10 @@ def _per_job(rows: DataFrame, keys: int, work) -> DataFrame:
                 if job != at:
                     if at is not None:
                         yield done()
-                    at, held = job, {n: [] for n in rest}
+                    at, held, seen = job, {n: [] for n in rest}, set()
+                if rest["set_number"][row] in seen:
+                    continue
+                seen.add(rest["set_number"][row])
                 for n, values in rest.items():
                     held[n].append(values[row])
         if at is not None:
@@ -322,19 +354,22 @@ def _values(column: pa.Array) -> list:
     return column.to_pylist()
 
 
-def _cross_links(low: int, high: int, held: dict[str, list], percent: int) -> tuple[list, list]:
+def _cross_links(low: int, high: int, held: dict[str, list], percent: int, whole: bool = True) -> tuple[list, list]:
     """Links between two blocks, or within one, that join classes not joined before in this job.
 
     Members of the prefixes are counted through an inverted list; who shares enough of them is
-    looked up in the prefix tree of the block.
+    looked up in the prefix tree of the block. Not ``whole``: the classes that share enough.
     """
     own = np.array(held["own"])
     left = np.flatnonzero(own == low)
     right = np.flatnonzero(own == high)
+    if not len(left) or not len(right):
+        return [], []
     names, sizes = held["set_number"], np.array(held["n"], np.int64)
-    class_of = np.array(held["component"], np.int64)
+    first_class = np.array(held["component"], np.int64)
+    class_of = first_class.copy()
     tails = sizes - prefix_length(sizes, percent)
-    tree = PrefixTree([held["shingles"][i] for i in right])
+    tree = PrefixTree([held["shingles"][i] for i in right]) if whole else None
     shingles = np.concatenate([held["head"][i] for i in right])
     owners = np.repeat(np.arange(len(right)), [len(held["head"][i]) for i in right])
     order = np.argsort(shingles, kind="stable")
@@ -355,11 +390,11 @@ def _cross_links(low: int, high: int, held: dict[str, list], percent: int) -> tu
         among = np.flatnonzero(fit)
         if not len(among):
             continue
-        for hit in tree.similar(held["shingles"][i], percent, among):
+        for hit in tree.similar(held["shingles"][i], percent, among) if whole else among:
             j = right[hit]
-            a.append(names[i])
-            b.append(names[j])
             if class_of[j] != class_of[i]:
+                a.append(names[i] if whole else int(first_class[i]))
+                b.append(names[j] if whole else int(first_class[j]))
                 class_of[class_of == class_of[j]] = class_of[i]
     return a, b
 
