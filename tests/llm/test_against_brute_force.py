@@ -70,6 +70,8 @@ def test_jaccard_on_near_copies_and_chains(spark, monkeypatch):
             rows.append((len(rows) * 7 % 151, " ".join(words)))
     rows.append((1000, " ".join(["hot"] * 40)))
     monkeypatch.setattr(jaccard, "TREE_SHINGLES", 300)  # many blocks
+    monkeypatch.setattr(jaccard, "GROUP_SETS", 5)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
     found = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_classes(dict(rows))
 
@@ -88,6 +90,23 @@ def test_prefix_tree():
         assert sorted(tree.similar(query, 60, np.arange(0, 300, 3))) == [i for i in want if i % 3 == 0]
 
 
+@pytest.mark.parametrize("at_once", [10, 1000])
+def test_components(spark, monkeypatch, at_once):
+    from marketlens.llm import components
+
+    rng = random.Random(at_once)
+    pairs = [(i, i + 1) for i in range(0, 40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(50)]
+    rng.shuffle(pairs)
+    parent = {n: n for p in pairs for n in p}
+    for _ in parent:
+        for a, b in pairs:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    monkeypatch.setattr(components, "EDGES_AT_ONCE", at_once)
+    found = components.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    loops = {a for a, b in pairs if a == b} - {n for a, b in pairs if a != b for n in (a, b)}
+    assert {r.node: r.component for r in found} == {n: c for n, c in parent.items() if n not in loops}
+
+
 def test_search_for_words():
     rng = random.Random(3)
     for _ in range(150):
