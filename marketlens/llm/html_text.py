@@ -41,6 +41,10 @@ AROUND_NAMES = re.compile(
     r"subscribe|toolbar|widgets?)(?:$|[\s_-])"
 )
 MAIN = frozenset(("article", "main"))
+#: Elements that can be a whole text; of others the parent is taken.
+HOLDERS = MAIN | frozenset(("div", "section", "td", "body", "#page"))
+#: Share of a text from which a part counts as nearly all of it.
+NEARLY_ALL = 0.9
 
 _MARKUP = re.compile(
     r"<!--(?:.*?--|)>|<!--.*|<!\[CDATA\[.*?\]\]>|<[!?/][^a-zA-Z>][^>]*>|<[!?][^>]*>|"
@@ -151,6 +155,15 @@ def _ordered(root: Element) -> list[Element]:
     return found
 
 
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    c, t, lc, lt = chars, max(1, tags), max(1, link_chars), max(1, link_tags)
+    if not c:
+        return 0.0
+    base = math.log(c / max(1, c - link_chars) * link_chars + share * c + math.e)
+    ratio = c / lc * t / lt
+    return c / t * (math.log(ratio) / math.log(base + 1e-9) if ratio > 1 and base > 1 + 1e-9 else math.log(max(1.0, ratio)) + 1)
+
+
 def measured(root: Element) -> list[Element]:
     """Composite text density and the sum of the children's for every element.
 
@@ -170,22 +183,20 @@ def measured(root: Element) -> list[Element]:
             up.link_tags += e.link_tags + (e.name == "a")
     share = root.link_chars / max(1, root.chars)
     for e in elements:
-        c, t, lc, lt = e.chars, max(1, e.tags), max(1, e.link_chars), max(1, e.link_tags)
-        if c:
-            base = math.log(c / max(1, c - e.link_chars) * e.link_chars + share * c + math.e)
-            ratio = c / lc * t / lt
-            e.density = c / t * (math.log(ratio) / math.log(base + 1e-9) if ratio > 1 and base > 1 + 1e-9 else math.log(max(1.0, ratio)) + 1)
+        e.density = _density(e.chars, e.tags, e.link_chars, e.link_tags, share)
         if e.parent is not None:
             e.parent.density_sum += e.density
     return elements
 
 
-def main_element(elements: list[Element]) -> Element:
+def main_elements(elements: list[Element]) -> list[Element]:
     """The subtree with the largest density sum, among those not sparser than its path allows.
 
     The smallest density on the way from the first candidate up to the page is the threshold. An
-    article element that holds the winner, or the one that the winner holds, stands for it; an
-    element without children can win by its own density.
+    element without children can win by its own density. Names only round the choice off: articles
+    inside the winner stand for it if they hold nearly all of its text, and an article around it
+    does if it adds little or equally dense text. Other articles come with it, in page order, unless
+    they are sparse and hold links, as teasers do.
     """
     root = elements[0]
     best = max(elements, key=lambda e: e.density_sum)
@@ -195,19 +206,45 @@ def main_element(elements: list[Element]) -> Element:
     threshold = min(e.density for e in path)
     dense = [e for e in elements if e.density >= threshold and e.chars]
     best = max(dense, key=lambda e: e.density_sum, default=root)
-    e, within = best, None
-    while e is not None:
-        within = e if e.name in MAIN else within
-        e = e.parent
-    if within is not None:
-        return within
-    inner = [e for e in _ordered(best) if e.name in MAIN and e.chars]
-    if inner:
-        return max(inner, key=lambda e: (e.chars, e.density_sum))
     # a single paragraph or line of a longer text: its parent holds the text
-    while best.parent is not None and best.name not in ("div", "section", "td", "body", "#page"):
+    while best.parent is not None and best.name not in HOLDERS:
         best = best.parent
-    return best
+    share = root.link_chars / max(1, root.chars)
+
+    def alike(e: Element) -> bool:
+        return e.chars > 0 and (not e.link_chars or e.density >= threshold / 2)
+
+    if best.name not in MAIN:
+        inner = [e for e in _outermost(best) if alike(e)]
+        if inner and sum(e.chars for e in inner) >= NEARLY_ALL * best.chars:
+            return inner
+    stands, e = best, best.parent
+    while e is not None:
+        if e.name in MAIN:
+            rest = _density(
+                e.chars - stands.chars, e.tags - stands.tags, e.link_chars - stands.link_chars, e.link_tags - stands.link_tags, share
+            )
+            if stands.chars >= NEARLY_ALL * e.chars or rest >= threshold / 2:
+                stands = e
+        e = e.parent
+    if stands.name != "article":
+        return [stands]
+    scope = stands.parent
+    while scope.parent is not None and scope.name not in MAIN:
+        scope = scope.parent
+    return [e for e in _outermost(scope) if e is stands or e.name == "article" and alike(e)]
+
+
+def _outermost(element: Element) -> list[Element]:
+    """Article elements inside an element that lie in no other one there, in page order."""
+    found, todo = [], [element]
+    while todo:
+        e = todo.pop()
+        if e.name in MAIN and e is not element:
+            found.append(e)
+        else:
+            todo.extend(c for c in reversed(e.content) if isinstance(c, Element))
+    return found
 
 
 def block_texts(element: Element) -> list[str]:
@@ -242,7 +279,7 @@ def main_text(page: str | None) -> str:
     """Main text of one page; empty for null, empty and textless pages."""
     if not page:
         return ""
-    return "\n".join(block_texts(main_element(measured(parsed(page)))))
+    return "\n".join(line for e in main_elements(measured(parsed(page))) for line in block_texts(e))
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -206,6 +206,39 @@ def test_extraction(pages):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+LONG = "The harbour was rebuilt after the flood and many of the old sheds were moved to the hill behind the town. "
+
+
+def paragraphs(n: int, mark: str, repeat: int = 2) -> str:
+    return "".join(f"<p>{mark}{i} {LONG * repeat}</p>" for i in range(n))
+
+
+def test_density_decides_against_names():
+    teaser = '<article><h3><a href="/x">Another story</a></h3><p>In short.</p></article>'
+    links = "<ul>" + "".join(f'<li><a href="/{i}">Topic number {i}</a></li>' for i in range(12)) + "</ul>"
+    # a long text without an article element, with a teaser beside it, in it, and none
+    for page in (
+        f'<body><div id="story">{paragraphs(6, "a")}</div><div>{teaser}</div></body>',
+        f'<body><div id="story">{paragraphs(3, "a")}{teaser}{paragraphs(3, "b")}</div></body>',
+        f'<body>{links}<div id="story">{paragraphs(6, "a")}</div></body>',
+    ):
+        text = html_text.main_text(page)
+        assert text.count("The harbour") == 12 and "Topic" not in text
+    # articles in several parts, with and without wrappers of their own; a teaser among them stays away
+    parts = [f"<article><h2>Part {i}</h2>{paragraphs(3, f'p{i}x')}</article>" for i in range(3)]
+    for wrapper in ("", "div"):
+        put = [f"<{wrapper}>{part}</{wrapper}>" if wrapper else part for part in (*parts[:2], teaser, parts[2])]
+        text = html_text.main_text(f"<body>{links}<div>{''.join(put)}</div></body>")
+        assert [line for line in text.split("\n") if line.startswith("Part")] == ["Part 0", "Part 1", "Part 2"]
+        assert text.count("The harbour") == 18 and "In short" not in text
+    # main holds the text and a list of links: the text alone
+    text = html_text.main_text(f"<body><main>{links}{links}<div>{paragraphs(6, 'a')}</div></main></body>")
+    assert text.count("The harbour") == 12 and "Topic" not in text
+    # sections of one article, and its heading
+    text = html_text.main_text(f"<body>{links}<article><h1>Head</h1><section>{paragraphs(4, 'a')}</section><section>{paragraphs(3, 'b')}</section></article></body>")
+    assert text.startswith("Head") and text.count("The harbour") == 14
+
+
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
