@@ -28,17 +28,21 @@ ENDS = {
 }
 SCOPE = frozenset("ul ol dl table select body html".split())
 CLOSES_P = BLOCK - frozenset("body html caption td th tr tbody thead tfoot option optgroup legend summary".split())
-#: Elements, roles and name parts of what stands around an article.
-AROUND = frozenset(
-    "aside button dialog footer form head header iframe input label menu nav noscript object script "
-    "select style svg template textarea".split()
+#: Elements that show no running text; nothing in them is kept.
+TEXTLESS = frozenset(
+    "button head iframe input label noscript object script select style svg template textarea".split()
 )
+#: Elements, roles and whole class or id names of what stands around an article.
+AROUND = frozenset("aside dialog footer form header menu nav".split())
 AROUND_ROLES = frozenset("alert banner complementary contentinfo dialog form menu navigation search".split())
 AROUND_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|"
-    r"footer|header|login|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|notification|pager|"
-    r"pagination|popup|promo\w*|recommend\w*|related|replies|reply|share|sharing|sidebar|signup|social|sponsor\w*|"
-    r"subscribe|toolbar|widgets?)(?:$|[\s_-])"
+    r"ads?|advert|adverts|advertisements?|advertising|adbox|ad[-_](?:banner|box|container|slot|unit|wrapper)|banner|breadcrumbs?|"
+    r"comments?|commentlist|comments?[-_](?:area|form|list|section)|consent|cookies?|(?:cookie|consent)[-_](?:banner|bar|consent|"
+    r"message|notice|popup)|disqus(?:[-_]thread)?|(?:(?:global|main|page|primary|secondary|site|top)[-_])?(?:footer|header|masthead|"
+    r"menu|nav|navbar|navigation|sidebar)|login|menus|modal|newsletter(?:[-_](?:form|signup))?|notices?|notification|pager|"
+    r"pagination|popup|promo|promos|promotions?|recommendations?|recommended|related(?:[-_](?:articles|content|links|news|posts|"
+    r"stories))?|replies|reply|share|sharing|share[-_](?:bar|buttons|links)|signup|social|social[-_](?:bar|buttons|icons|links|media|"
+    r"share)|sponsor|sponsors|sponsored|subscribe|toolbar|widgets?"
 )
 MAIN = frozenset(("article", "main"))
 #: Elements that can be a whole text; of others the parent is taken.
@@ -59,6 +63,7 @@ _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|style)(?:\s*=\s*("[^"]*"|'
 class Element:
     name: str
     parent: "Element | None"
+    hidden: bool = False
     around: bool = False
     content: list = field(default_factory=list)  # texts and elements, in page order
     chars: int = 0
@@ -69,27 +74,39 @@ class Element:
     density_sum: float = 0.0
 
 
+def _is_hidden(name: str, attributes: str) -> bool:
+    """Whether nothing in the element is running text that the page shows."""
+    if name in TEXTLESS:
+        return True
+    if not attributes or name in ("html", "body"):
+        return False
+    return any(
+        key.lower() == "hidden" or key.lower() == "style" and re.search(r"display\s*:\s*none", value, re.I)
+        for key, value in _NAMED.findall(attributes)
+    )
+
+
 def _is_around(name: str, attributes: str) -> bool:
     if name in AROUND:
         return True
-    if not attributes or name in ("html", "body"):
+    if not attributes or name in ("html", "body") or name in MAIN:
         return False
     for key, value in _NAMED.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or key == "role" and value in AROUND_ROLES or key == "style" and re.search(r"display\s*:\s*none", value):
+        if key == "role" and value in AROUND_ROLES:
             return True
-        if key in ("class", "id") and AROUND_NAMES.search(value):
+        if key in ("class", "id") and any(AROUND_NAMES.fullmatch(token) for token in value.split()):
             return True
     return False
 
 
 def parsed(page: str) -> Element:
-    """The element tree, with implied end tags; what stands around articles is marked, not kept."""
+    """The element tree, with implied end tags, without hidden elements and what stands around articles."""
     root = Element("#page", None)
     open_, at, end_of_page = [root], 0, len(page)
 
     def text(until: int) -> None:
-        if until > at and not open_[-1].around:
+        if until > at and not open_[-1].hidden:
             open_[-1].content.append(html.unescape(page[at:until]))
 
     while at < end_of_page:
@@ -102,7 +119,7 @@ def parsed(page: str) -> Element:
         name = (m["name"] or m["name2"] or "").lower()
         if not name:
             if m[0].startswith("<![CDATA["):
-                open_[-1].around or open_[-1].content.append(m[0][9:-3])
+                open_[-1].hidden or open_[-1].content.append(m[0][9:-3])
             continue
         if m["end"] or m["end2"]:
             for i in range(len(open_) - 1, 0, -1):
@@ -130,22 +147,66 @@ def parsed(page: str) -> Element:
                     if name in ("li", "dt", "dd", "option", "td", "th"):
                         break
         parent = open_[-1]
-        element = Element(name, parent, parent.around or _is_around(name, attributes))
-        if not element.around:
+        element = Element(name, parent, parent.hidden or _is_hidden(name, attributes))
+        if not element.hidden:
+            element.around = _is_around(name, attributes)
             parent.content.append(element)
         if name in VOID:
             continue
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            if not element.around:
+            if not element.hidden:
                 element.content.append(html.unescape(page[at : close.start() if close else end_of_page]))
             at = close.end() if close else end_of_page
             continue
         if not attributes.endswith("/") or name not in ("svg", "path"):
             open_.append(element)
+    _drop_around(root)
     return root
 
 
+def _drop_around(root: Element) -> None:
+    """Takes marked elements out of the tree, those excepted that may hold the article themselves.
+
+    These hold most of the page's text outside links, or, when only a name, a role or a form marks
+    them, an article element with text; their inner elements are judged in turn. A header, footer,
+    menu or aside doesn't stay on a page with an article element outside of marked ones, which may
+    be shorter than its footer.
+    """
+    elements = _ordered(root)
+    if not any(e.around for e in elements):
+        return
+    plain, holds = {}, set()
+    for e in reversed(elements):
+        size = plain.get(id(e), 0) + sum(len("".join(c.split())) for c in e.content if isinstance(c, str))
+        plain[id(e)] = 0 if e.name == "a" else size
+        if e.name in MAIN and plain[id(e)]:
+            holds.add(id(e))
+        if e.parent is not None:
+            plain[id(e.parent)] = plain.get(id(e.parent), 0) + plain[id(e)]
+            if id(e) in holds:
+                holds.add(id(e.parent))
+    half = plain[id(root)] / 2
+    marked = set()
+    for e in elements:
+        if e.around or e.parent is not None and id(e.parent) in marked:
+            marked.add(id(e))
+    article = any(e.name in MAIN and id(e) in holds and id(e) not in marked for e in elements)
+
+    def stays(e: Element) -> bool:
+        if not e.around:
+            return True
+        if e.name in AROUND and e.name != "form":
+            return plain[id(e)] > half and not article
+        return plain[id(e)] > half or id(e) in holds
+
+    todo = [root]
+    while todo:
+        e = todo.pop()
+        e.content = [c for c in e.content if isinstance(c, str) or stays(c)]
+        todo.extend(c for c in e.content if isinstance(c, Element))
+
+
 def _ordered(root: Element) -> list[Element]:
     """Elements with every parent before its children."""
     found, i = [root], 0
@@ -285,8 +346,9 @@ def main_text(page: str | None) -> str:
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """``key, url, text, n_chars`` of every page, from the whole of its markup.
 
-    Menus, headers, footers, sidebars, notices, adverts, forms, comments and scripts are marked by
-    element, role and name and count nowhere; text density then finds the article. Null and empty
+    Scripts and hidden elements count nowhere. Menus, headers, footers, sidebars, notices, adverts,
+    forms and comments, marked by element, role and whole class or id names, don't either unless
+    they may hold the article (see ``_drop_around``); text density then finds it. Null and empty
     pages have empty text; a page without any markup is its own text. Equal rows give equal rows.
     Other columns are not read. Pages are worked on one at a time, without a shuffle.
     """

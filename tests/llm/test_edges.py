@@ -239,6 +239,22 @@ def test_density_decides_against_names():
     assert text.startswith("Head") and text.count("The harbour") == 14
 
 
+def test_names_of_wrappers():
+    article = f'<article class="comments-open">{paragraphs(3, "a")}</article>'
+    for name in ("content has-sidebar", "no-sidebar", "layout sidebar-right", "post comments-open", "social-science", "layout sidebar"):
+        for inner in (article, f"<div>{paragraphs(3, 'a')}</div>"):
+            page = f'<body><nav><a href="/">Home</a></nav><div class="{name}">{inner}</div><div class="sidebar">More</div></body>'
+            text = html_text.main_text(page)
+            assert text.count("The harbour") == 6 and "More" not in text and "Home" not in text, (name, page)
+    # an article element, marked itself, and a form around the page
+    assert html_text.main_text(f'<main class="social">{paragraphs(2, "a")}</main>').count("The harbour") == 4
+    assert html_text.main_text(f"<form>{article}</form><footer>{LONG}</footer>").count("The harbour") == 6
+    # what is around stays away, also when it is longer than the article
+    page = f'<div class="ad">Buy it</div><article><p>Short.</p></article><div class="cookie-banner">Accept</div><footer>{LONG}</footer>'
+    assert html_text.main_text(page) == "Short."
+    assert html_text.main_text(f'<div style="display: none">{LONG * 9}</div><p>Short.</p>') == "Short."
+
+
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
