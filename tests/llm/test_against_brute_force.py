@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from marketlens.llm import decontaminate, jaccard, nearest, packing, resample, url_rules, vector_graph
@@ -201,6 +202,32 @@ def test_recall_of_the_graphs(spark):
     assert hits / total >= 0.95
 
 
+def test_recall_with_groups_of_copies(spark):
+    rng = np.random.default_rng(3)
+    own = rng.normal(size=(900, 16)).astype("float32")
+    own[rng.choice(900, 320, replace=False)] = own[0]
+    own[rng.choice(900, 60, replace=False)] = own[1]
+    order = rng.permutation(900)
+    rows = {int(i): own[n].astype(float) for n, i in enumerate(order)}
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "vec_id long, embedding array<float>").repartition(7)
+    asked = [int(order[n]) for n in (0, 1, 5, 6, 7, 8)] + [i for i, v in rows.items() if (v == own[0]).all()][:30]
+    got = defaultdict(list)
+    for r in nearest.nearest_vectors(vectors, vectors.where(F.col("vec_id").isin(asked)), shard_rows=300).orderBy("rank").collect():
+        got[r.query_id].append(r.vec_id)
+    ids = np.array(sorted(rows))
+    points = np.stack([rows[i] for i in ids.tolist()])
+    hits = 0
+    for q in set(asked):
+        scores = (points * rows[q]).sum(1)
+        best = [int(ids[n]) for n in np.lexsort((ids, -scores)) if ids[n] != q][:20]
+        assert len(got[q]) == 20
+        hits += len(set(best) & set(got[q]))
+        if (rows[q] == own[0]).all():
+            top = [i for i in best if (rows[i] == own[0]).all()]
+            assert not top or set(top) <= set(got[q])
+    assert hits >= 0.97 * 20 * len(set(asked))
+
+
 def test_pruning_keeps_diverse_edges():
     points = np.array([[0.0, 0], [1, 0], [1.1, 0], [0, 1], [5, 5]])
     assert vector_graph.pruned(points, 0, np.arange(5)).tolist() == [1, 3, 4]
