@@ -6,6 +6,8 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +25,6 @@ STEM = range(3, 9)
 PURITY = 0.8
 #: Log-odds that one term or kind of clause can give at most.
 STRONGEST = 3.0
-#: Candidate terms that the choice of terms looks at.
-CANDIDATES = 5_000
 
 
 @dataclass
@@ -71,7 +71,8 @@ def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
 
     Spark counts every stem and word over the sample. Terms are chosen greedily: the one whose
     documents gain most likelihood, then the next over the documents not yet explained, until the
-    gain could be chance among so many terms; so words that merely stand beside an insult, or in
+    gain could be chance among so many terms. Every term that passes this test alone is a candidate;
+    those of the same documents are one, the whole word or longest stem. So words that merely stand beside an insult, or in
     copies of one toxic document, earn nothing. The fixed insults count as seen in two toxic
     documents beforehand. Then the kinds of clauses get their shifts. With no labels the fixed
     words and priors remain.
@@ -82,27 +83,34 @@ def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     base = (toxic + 0.5) / (count + 1)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_, bad = Counter(), Counter()
+        all_, bad, sets = Counter(), Counter(), Counter()
         for batch in batches:
             for body, label in zip(*(c.to_pylist() for c in batch.columns)):
                 found = word_terms(body)
                 all_.update(found)
                 if label:
                     bad.update(found)
+                mark = int.from_bytes(blake2b(body.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+                for t in found:
+                    sets[t] ^= mark
         names = list(all_)
         for i in range(0, len(names), 50_000):
             part = names[i : i + 50_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.string()), pa.array([all_[t] for t in part], pa.int64()), pa.array([bad[t] for t in part], pa.int64())],
-                ["term", "n", "bad"],
+                [pa.array(part, pa.string()), *(pa.array([c[t] for t in part], pa.int64()) for c in (all_, bad, sets))],
+                ["term", "n", "bad", "set"],
             )
 
     counts = durable(
-        sample.mapInArrow(counted, "term string, n long, bad long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+        sample.mapInArrow(counted, "term string, n long, bad long, set long").groupBy("term")
+        .agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.bit_xor("set").alias("set"))
     )
     chance = math.log(max(1, counts.count())) + 2
-    strong = counts.where((F.col("bad") >= PURITY * F.col("n")) & (F.col("bad") > 2))
-    top = strong.orderBy(F.desc("bad"), "term").limit(CANDIDATES).collect()
+    n, hits = F.col("n"), F.col("bad")
+    gain = hits * F.log(hits / n / base) + F.when(n > hits, (n - hits) * F.log((1 - hits / n) / (1 - base))).otherwise(0.0)
+    strong = counts.where((hits >= PURITY * n) & (hits > 2)).where(gain >= chance - 1e-6)
+    whole_first = F.struct(F.endswith("term", F.lit("$")), F.length("term"), F.col("term").alias("term"))
+    top = strong.groupBy("set", "n", "bad").agg(F.max(whole_first)["term"].alias("term")).collect()
     stats = {r.term: (r.bad, r.n) for r in top if _gain(r.bad, r.n, base) >= chance}
     chosen = _chosen(sample, stats, base, chance) if stats else {}
 
@@ -130,23 +138,35 @@ def _chosen(sample: DataFrame, stats: dict[str, tuple[int, int]], base: float, c
             docs[t].add(i)
     bad = {i for i, r in enumerate(rows) if r.label}
     chosen, explained = {}, set()
-    left = set(stats)
-    while left:
-        def worth(t: str) -> tuple:
-            open_ = docs[t] - explained
-            # of equal gains the whole word, then the longer stem
-            return (round(_gain(len(open_ & bad), len(open_), base) if open_ else 0.0, 6), t.endswith("$"), len(t), t)
-
-        ranked = max(left, key=worth)
+    # of equal gains the whole word, then the longer stem
+    place = {t: i for i, t in enumerate(sorted(docs, key=lambda t: (t.endswith("$"), len(t), t)))}
+
+    def worth(t: str) -> tuple:
+        open_ = docs[t] - explained
+        return (-round(_gain(len(open_ & bad), len(open_), base) if open_ else 0.0, 6), -place[t], t)
+
+    current = {t: worth(t) for t in docs}
+    queue = list(current.values())
+    heapify(queue)
+    while queue:
+        best = heappop(queue)
+        ranked = best[2]
+        if current.get(ranked) != best:
+            continue
         open_ = docs[ranked] - explained
-        if not open_ or worth(ranked)[0] < chance or len(open_ & bad) < PURITY * len(open_):
-            if not open_ or worth(ranked)[0] < chance:
-                break
-            left.discard(ranked)
+        if not open_ or -best[0] < chance:
+            break
+        del current[ranked]
+        if len(open_ & bad) < PURITY * len(open_):
             continue
         chosen[ranked] = stats[ranked]
         explained |= docs[ranked]
-        left = {t for t in left if t != ranked and docs[t] - explained}
+        for t in {t for i in open_ for t in rows[i].terms if t in current}:
+            if docs[t] <= explained:
+                del current[t]
+            else:
+                current[t] = worth(t)
+                heappush(queue, current[t])
     return chosen
 
 

@@ -206,6 +206,18 @@ def test_extraction(pages):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+def test_rare_insult_beside_near_copies(spark):
+    words = [f"{a}{b}{c}{d}" for a in ("ba", "ce", "di", "fo", "gi", "hu", "ka", "le", "mo", "ny") for b in ("gu", "ha", "je", "ki") for c in ("lo", "mu", "na", "pe", "qui", "ru") for d in ("sa", "te", "vi", "wo", "xa", "zu", "yl", "om", "ek", "ath", "ust", "orn")]
+    copied = " ".join(words)
+    rows = [(i, f"{copied} number{i}", 1) for i in range(60)]
+    rows += [(100 + i, f"you are a zwunkel {i}.", 1) for i in range(25)]
+    rows += [(1000 + i, f"a calm report about place{i} and the weather", 0) for i in range(900)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    assert any(t.startswith("zwu") for t in model.terms)
+    assert len(model.terms) < 100 and model.score("you are a zwunkel") >= toxicity.TOXIC
+
+
 LONG = "The harbour was rebuilt after the flood and many of the old sheds were moved to the hill behind the town. "
 
 
