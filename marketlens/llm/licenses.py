@@ -23,6 +23,21 @@ KNOWN = (
     ("CC0-1.0", "Released under CC0 1.0."),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 )
+#: Digests of the canonical forms of entire licences, from the texts that Debian ships.
+ENTIRE = (
+    ("Apache-2.0", "fc9ffa028053110bf363230820573237249ec02f2aab9e78655c07e76608775a"),
+    ("GPL-1.0", "7412ff2677cbe3b67d2b61d311f51117fd0a088c2e4088d244f68725205ef71e"),
+    ("GPL-2.0", "3bd042f258c23713d7bdbe60b357b278140c335f8b98d10f884839c03fd8935f"),
+    ("GPL-3.0", "e11dc2868c732141453a8a32ecbd8e4ecbc15557f48f9dccbc2b9e021090becd"),
+    ("LGPL-2.0", "06f66afedc39c06ef113f8ce043df8c4b61896d0064a75974828928b06694072"),
+    ("LGPL-2.1", "7ebe1296044411dba1a546f344d21899dbf82f3ee3c8d6e742bd711db70b0917"),
+    ("LGPL-3.0", "b732f620d8e49727b82f5c0330ec38c6b5739e4a48b007b9d690023deae07bfe"),
+    ("MPL-1.1", "ed0f7105bdaaa40af19183644353d7c683fbf3beeb13e16f5ebef3461342b253"),
+    ("MPL-2.0", "e314442c72eff3a2d7b87ece2ae6c4d440fd043fded85fccd3463ee7b0a0b0fe"),
+    ("CC0-1.0", "92f195ae84ff559b03177551e6c1166f57d3cc30f5a7d806b4039e24906bd8de"),
+    ("GFDL-1.2", "0d90ce7c40b7d94fdb2c54865c9d05605cccd6b41490c1a0c903f97fd640434b"),
+    ("GFDL-1.3", "dfc72622f41cff073eb79e4352db65ec945971bd581b1338954e1ce56ce7b58d"),
+)
 #: Equivalent spellings after lower-casing, applied in this order.
 SPELLINGS = (
     ("licence", "license"),
@@ -48,7 +63,9 @@ def digest(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license string, text string")
+    """``license, text, digest``: notices by their text, entire licences by the digest of theirs."""
+    rows = [(name, text, None) for name, text in KNOWN] + [(name, None, known) for name, known in ENTIRE]
+    return spark.createDataFrame(rows, "license string, text string, digest string")
 
 
 def license_scan(
@@ -56,7 +73,7 @@ def license_scan(
 ) -> DataFrame:
     """The licence that a whole text is, and the licences that its single lines are.
 
-    ``licenses`` has license and text. Whole texts and lines are joined on the digest of their
+    ``licenses`` has license and text, or a digest in place of a text. Whole texts and lines are joined on the digest of their
     canonical form, so case, punctuation, copyright lines and equivalent spellings don't matter and
     nothing but a full match counts. Known digests are broadcast only within a counted bound.
 
@@ -67,8 +84,10 @@ def license_scan(
     one row each. Other columns are not read.
     """
     nothing = F.sha2(F.lit("").cast("binary"), 256)
+    form = digest(F.col("text"))
+    form = F.coalesce("digest", form) if "digest" in licenses.columns else form
     known = (
-        licenses.where("license is not null").select(digest(F.col("text")).alias("known"), "license")
+        licenses.where("license is not null").select(form.alias("known"), "license")
         .where(F.col("known") != nothing).groupBy("known").agg(F.min("license").alias("license"))
     )
     known = small(known, known.count())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,6 +208,17 @@ def test_extraction(pages):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+def test_entire_licenses(spark):
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-3.0": "GPL-3", "MPL-2.0": "MPL-2.0", "LGPL-2.1": "LGPL-2.1"}
+    if not os.path.isdir(folder):
+        pytest.skip("no licence texts here")
+    rows = [(k, open(f"{folder}/{f}", encoding="utf-8").read().upper().replace("\n", "\n  ")) for k, f in names.items()]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    found = licenses.license_scan(docs, licenses.known_licenses(spark)).collect()
+    assert {r.doc_id: r.license for r in found} == {k: k for k in names}
+
+
 def test_rare_insult_beside_near_copies(spark):
     words = [f"{a}{b}{c}{d}" for a in ("ba", "ce", "di", "fo", "gi", "hu", "ka", "le", "mo", "ny") for b in ("gu", "ha", "je", "ki") for c in ("lo", "mu", "na", "pe", "qui", "ru") for d in ("sa", "te", "vi", "wo", "xa", "zu", "yl", "om", "ek", "ath", "ust", "orn")]
     copied = " ".join(words)
