@@ -15,6 +15,7 @@ from marketlens.llm import (
     packing,
     resample,
     sharding,
+    token_counts,
     toxicity,
     url_rules,
 )
@@ -97,3 +98,10 @@ def op6_license_scan(spark, sf_dir):
 def op8_nearest_neighbours(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return nearest.nearest_vectors(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query
+def op11_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
