@@ -115,3 +115,32 @@ FROM docs LEFT JOIN known USING (form) LEFT JOIN found USING (r)
 
 
 ORACLE["op6_license_scan"] = _op6()
+
+
+#: Terms, statistics and the integer score spelled out; each row of documents is one document.
+OP13 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+totals AS (SELECT count(*) FILTER (WHERE len(terms) > 0) AS big_n, sum(len(terms)) AS big_l FROM docs),
+postings AS (SELECT r, doc_id, term, count(*) AS tf FROM (SELECT r, doc_id, unnest(terms) AS term FROM docs) GROUP BY ALL),
+freq AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+weights AS (
+  SELECT item_id, a.term, CAST(floor(1000 * ln((2.0 * big_n + 2) / (2.0 * df + 1))) AS BIGINT) AS w
+  FROM asked a JOIN freq f ON a.term = f.term, totals),
+lengths AS (SELECT r, CAST(50 + (50 * len(terms) * big_n) // big_l AS BIGINT) AS m FROM docs, totals),
+scored AS (
+  SELECT item_id, p.r, p.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS score
+  FROM weights w JOIN postings p ON p.term = w.term JOIN lengths l ON l.r = p.r
+  GROUP BY item_id, p.r, p.doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 50
+"""
+ORACLE["op13_lexical_search"] = OP13

@@ -10,6 +10,7 @@ from marketlens.llm import (
     decontaminate,
     html_text,
     jaccard,
+    lexical_search,
     licenses,
     nearest,
     packing,
@@ -105,3 +106,8 @@ def op11_token_counts(spark, sf_dir):
     import public_tokenizers
 
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op13_lexical_search(spark, sf_dir):
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
