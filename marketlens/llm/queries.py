@@ -16,6 +16,7 @@ from marketlens.llm import (
     packing,
     resample,
     sharding,
+    tandem_runs,
     token_counts,
     toxicity,
     url_rules,
@@ -111,3 +112,8 @@ def op11_token_counts(spark, sf_dir):
 @query
 def op13_lexical_search(spark, sf_dir):
     return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    return tandem_runs.periodic_runs(table(spark, sf_dir, "documents"))
