@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,11 +21,18 @@ from marketlens.functions.text import WHITESPACE, char_class
 
 _SPACE = char_class(WHITESPACE)
 
-# Named character references decoded here, from the standard library's table of the names that
-# pages use; numeric ones are decoded by rule, and the ampersand comes last.
-NAMED_REFERENCES: dict[str, str] = {
-    name: chr(code) for name, code in (*name2codepoint.items(), ("apos", 39)) if name != "amp"
-}
+# The named character references of HTML 5 are the standard library's copy of the public table,
+# sorted for a binary search; numeric references are decoded by rule.
+NAMED_REFERENCES: dict[str, str] = dict(sorted(html5.items()))
+_STEPS = len(NAMED_REFERENCES).bit_length()
+
+
+def _windows_1252(code: int) -> str:
+    """What a numeric reference to a C1 control means: the Windows-1252 sign, where it has one."""
+    try:
+        return bytes([code]).decode("cp1252")
+    except UnicodeDecodeError:
+        return chr(code)
 
 
 def visible_markup(html: Column) -> Column:
@@ -34,39 +41,65 @@ def visible_markup(html: Column) -> Column:
     return F.regexp_replace(html, hidden, "")
 
 
-# chr() stops at 255, so a code point becomes text through its UTF-32 bytes.
-_CODE = (
-    "CASE WHEN ref RLIKE '^&#[xX]0*[0-9a-fA-F]{1,7};' "
-    "THEN cast(conv(regexp_extract(ref, '^&#[xX]0*([0-9a-fA-F]+);', 1), 16, 10) AS INT) "
-    "WHEN ref RLIKE '^&#0*[0-9]{1,9};' THEN cast(regexp_extract(ref, '^&#0*([0-9]+);', 1) AS INT) END"
-)
-_CHARACTER = (
-    "code -> CASE WHEN code BETWEEN 1 AND 55295 OR code BETWEEN 57344 AND 1114111 "
-    f"THEN decode(unhex(lpad(hex(code), 8, '0')), 'UTF-32') ELSE {quoted(chr(0xFFFD))} END"
-)
-_NUMERIC = (
-    f"reduce(array_distinct(regexp_extract_all(t, '(&#(?:[0-9]+|[xX][0-9a-fA-F]+);)', 1)), t, "
-    f"(acc, ref) -> replace(acc, ref, get(transform(array({_CODE}), {_CHARACTER}), 0)))"
-)
-
-
 def _sql_unescape() -> str:
-    names = ", ".join(f"'&{name};'" for name in NAMED_REFERENCES)
-    signs = ", ".join(quoted(sign) for sign in NAMED_REFERENCES.values())
-    # of a name that is not in the list the text stays as it is
-    sign = f"coalesce(element_at(map_from_arrays(array({names}), array({signs})), ref), ref)"
-    found = "array_distinct(regexp_extract_all(n, '(&[a-zA-Z][a-zA-Z0-9]*;)', 1))"
-    named = f"reduce({found}, n, (acc, ref) -> CASE WHEN ref = '&amp;' THEN acc ELSE replace(acc, ref, {sign}) END)"
-    numeric = f"CASE WHEN contains(t, '&#') THEN {_NUMERIC} ELSE t END"
-    out = f"get(transform(array({numeric}), n -> replace({named}, '&amp;', '&')), 0)"
-    return f"t -> CASE WHEN contains(t, '&') THEN {out} ELSE t END"
+    """A SQL lambda that decodes references as the HTML 5 standard does, in one pass.
+
+    The text is split at each ``&``; a piece that begins a reference is decoded and the rest of
+    it kept. A name is looked up whole, then by its longest prefix of two or more characters in the
+    table (so ``&copy 2`` and ``&notit;`` decode their known part); a piece that names nothing keeps
+    its ``&``. Numbers follow the standard's rules for zero, C1 controls, surrogates, non-characters
+    and values past U+10FFFF; the closing ``;`` is optional. Nothing decodes twice.
+    """
+    names = "array(" + ", ".join(map(quoted, NAMED_REFERENCES)) + ")"
+    signs = "array(" + ", ".join(map(quoted, NAMED_REFERENCES.values())) + ")"
+    c1 = "array(" + ", ".join(quoted(_windows_1252(c)) for c in range(128, 160)) + ")"
+    # 1-based place of q among the sorted names, or 0
+    place = (
+        f"aggregate(sequence(1, {_STEPS}), named_struct('lo', 1L, 'hi', {len(NAMED_REFERENCES)}L), "
+        "(b, j) -> CASE WHEN b.lo > b.hi THEN b ELSE get(transform(array((b.lo + b.hi) div 2), m -> "
+        "CASE WHEN element_at(tab.n, cast(m AS INT)) = q THEN named_struct('lo', m, 'hi', -1L) "
+        "WHEN element_at(tab.n, cast(m AS INT)) < q THEN named_struct('lo', m + 1, 'hi', b.hi) "
+        "ELSE named_struct('lo', b.lo, 'hi', m - 1) END), 0) END, "
+        "b -> CASE WHEN b.hi = -1 THEN cast(b.lo AS INT) ELSE 0 END)"
+    )
+    named = (
+        "get(transform(array(regexp_extract(p, '^([^\\\\t\\\\n\\\\f <&#;]{1,32};?)', 1)), c -> "
+        "CASE WHEN length(c) < 2 THEN concat('&', p) ELSE coalesce(get(transform(filter(transform("
+        f"sequence(length(c), 2, -1), k -> named_struct('k', k, 'at', get(transform(array(substring(c, 1, k)), q -> {place}), 0))), "
+        "x -> x.at > 0), x -> concat(element_at(tab.s, x.at), substring(p, x.k + 1))), 0), concat('&', p)) END), 0)"
+    )
+    character = (
+        f"CASE WHEN code = 0 THEN {quoted(chr(0xFFFD))} WHEN code = 13 THEN {quoted(chr(13))} "
+        f"WHEN code BETWEEN 128 AND 159 THEN element_at({c1}, cast(code - 127 AS INT)) "
+        f"WHEN code BETWEEN 55296 AND 57343 OR code > 1114111 THEN {quoted(chr(0xFFFD))} "
+        "WHEN code BETWEEN 1 AND 8 OR code = 11 OR code BETWEEN 14 AND 31 OR code = 127 "
+        "OR code BETWEEN 64976 AND 65007 OR (code & 65534) = 65534 THEN '' "
+        "ELSE decode(unhex(lpad(hex(code), 8, '0')), 'UTF-32') END"
+    )
+    number = (
+        "get(transform(array(named_struct('hex', p RLIKE '^#[xX]', "
+        "'digits', regexp_extract(p, '^#[xX]?([0-9a-fA-F]+)', 1))), d -> get(transform(array(named_struct("
+        "'value', CASE WHEN d.hex THEN regexp_extract(d.digits, '^0*([0-9a-fA-F]*)', 1) "
+        "ELSE regexp_extract(d.digits, '^0*([0-9]*)', 1) END, "
+        "'rest', substring(p, length(d.digits) + CASE WHEN d.hex THEN 3 ELSE 2 END))), v -> "
+        "get(transform(array(CASE WHEN length(v.value) > 8 THEN 9999999999L WHEN v.value = '' THEN 0L "
+        "WHEN d.hex THEN cast(conv(v.value, 16, 10) AS BIGINT) ELSE cast(v.value AS BIGINT) END), "
+        f"code -> concat({character}, CASE WHEN v.rest LIKE ';%' THEN substring(v.rest, 2) ELSE v.rest END)), 0)), 0)), 0)"
+    )
+    piece = (
+        "CASE WHEN p RLIKE '^#[0-9]' AND NOT p RLIKE '^#[xX]' THEN {n} "
+        "WHEN p RLIKE '^#[xX][0-9a-fA-F]' THEN {n} ELSE {named} END"
+    ).format(n=number, named=named)
+    decoded = f"array_join(transform(split(t, '&'), (p, i) -> CASE WHEN i = 0 THEN p ELSE {piece} END), '')"
+    table = f"named_struct('n', {names}, 's', {signs})"
+    return f"t -> CASE WHEN contains(t, '&') THEN get(transform(array({table}), tab -> {decoded}), 0) ELSE t END"
 
 
 _UNESCAPE = _sql_unescape()
 
 
 def unescape(text: Column) -> Column:
-    """Decode character references; ``&amp;`` comes last so that nothing decodes twice."""
+    """Decode character references as the HTML 5 standard does; see ``_sql_unescape``."""
     return let_sql(text, _UNESCAPE)
 
 

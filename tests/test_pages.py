@@ -265,6 +265,24 @@ def test_references(value_of, text, want):
     assert value_of(markup.unescape, text) == want
 
 
+def test_every_named_reference_of_the_standard(spark):
+    """Every name of the HTML 5 table, with and without ``;``, in four places, and numbers by rule."""
+    import html
+    from html.entities import html5
+
+    from marketlens.functions import markup
+
+    texts = [form.format(name) for name in html5 for form in ("a&{}b", "&{}", "&{} 2", "x&{}=1;")]
+    texts += [
+        "&dollar;12", "&comma;", "&lbrace;", "&copy 2", "&notit;", "&ampamp;", "&amp;lt; &lt;", "&&amp;", "a & b",
+        "&#150;", "&#128;&#129;&#0;&#13;&#x7f;&#1;&#xD800;&#xFFFE;&#x10FFFF;&#x110000;", "&#65x", "&#x41", "&#",
+        "&#x", "&", "&;", "&\u00e9;", "&" + "a" * 40 + ";", "&ltlt", "", "&#x1F600;&#128512;", "&a\tb", "&a\fb",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    rows = frame.select("i", markup.unescape(F.col("x")).alias("y")).collect()
+    assert {r.i: r.y for r in rows} == {i: html.unescape(t) for i, t in enumerate(texts)}
+
+
 def test_every_paragraph_is_a_bullet(spark):
     import os
     import re
