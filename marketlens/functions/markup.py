@@ -134,10 +134,12 @@ def _value_pattern(value: str, token: bool) -> str:
 @dataclass(frozen=True)
 class StartTag:
     """A start tag to look for: a regex whose group 1 is the tag name, and texts that the
-    page must contain for the regex to be worth trying."""
+    page must contain for the regex to be worth trying. ``token`` matches one whole start tag
+    of ``tag_tokens``, attribute by attribute, so that quoted values hide what they hold."""
 
     pattern: str
     needles: tuple[str, ...] = ()
+    token: str = ""
 
 
 def open_tag(
@@ -158,11 +160,90 @@ def open_tag(
         rf"(?=[^>]*?\s(?i:{re.escape(key)})\s*=\s*{_value_pattern(value, False)})"
         for key, value in exact.items()
     ] + [rf"(?=[^>]*?\s(?i:class)\s*=\s*{_value_pattern(one, True)})" for one in classes]
+    # whole attributes are skipped, so a name or value inside another quoted value never counts
+    skip = r"""(?:[\s/]+[^\s/>=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?)*?[\s/]+"""
+    in_token = [
+        rf"(?={skip}(?i:{re.escape(key)})\s*=\s*{_token_value(value, False)})" for key, value in exact.items()
+    ] + [rf"(?={skip}(?i:class)\s*=\s*{_token_value(one, True)})" for one in classes]
     return StartTag(
-        rf"<((?i:{name}))\b{''.join(wanted)}[^>]*>", (*exact.values(), *classes)
+        rf"<((?i:{name}))\b{''.join(wanted)}[^>]*>", (*exact.values(), *classes),
+        rf"^<(?i:{name})(?=[\s/>]){''.join(in_token)}",
     )
 
 
+def _token_value(value: str, token: bool) -> str:
+    v = re.escape(value)
+    if token:
+        return rf"""(?:"(?:[^"]*\s)?{v}(?:\s[^"]*)?"|'(?:[^']*\s)?{v}(?:\s[^']*)?'|{v}(?=[\s/>]))"""
+    return rf"""(?:"{v}"|'{v}'|{v}(?=[\s/>]))"""
+
+
+# Elements without content or end tag (the void elements of HTML and the older
+# ones that parsers treat alike); such a start tag never opens an element.
+VOID_ELEMENTS = (
+    "area base br col embed hr img input keygen link menuitem meta param source track wbr "
+    "basefont bgsound command frame image isindex nextid spacer"
+).split()
+
+# A start tag read attribute by attribute (a quoted value may hold ">"), an end tag, another
+# markup declaration, a run of text, or a "<" that starts none of these.
+_TOKEN = (
+    r"""<[a-zA-Z][^\s/>]*+(?:[\s/]++(?:[^\s/>=][^\s/>=]*+(?:\s*+=++\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?)?)*+>"""
+    r"|</[a-zA-Z][^>]*+>|<[!?/][^>]*+>|[^<]++|<"
+)
+
+
+def tag_tokens(page: Column) -> Column:
+    """The page as tokens in order: start tags, end tags, declarations and runs of text."""
+    return F.regexp_extract_all(F.coalesce(page, F.lit("")), F.lit(_TOKEN), F.lit(0))
+
+
+def _name(prefix: str) -> str:
+    return f"lower(regexp_extract(x, {quoted(prefix + r'([a-zA-Z][^\s/>]*)')}, 1))"
+
+
+_VOIDS = ", ".join(map(quoted, VOID_ELEMENTS))
+# For every start tag that opens an element, the index of the token that ends it: its own end
+# tag, or an end tag that closes an element around it. An end tag closes the latest open element
+# of its name and every element opened after that one; an end tag with no open element of its
+# name is passed over. Elements open at the end of the page end after the last token.
+_ENDS = (
+    "t -> aggregate(filter(sequence(1, greatest(size(t), 1)), i -> i <= size(t)), named_struct("
+    "'stack', filter(array(named_struct('n', '', 'i', 0)), z -> false), "
+    "'ends', filter(array(named_struct('s', 0, 'e', 0)), z -> false)), "
+    "(st, i) -> get(transform(array(element_at(t, i)), x -> CASE "
+    f"WHEN x RLIKE '^<[a-zA-Z]' THEN CASE WHEN x RLIKE '/>$' OR {_name('^<')} IN ({_VOIDS}) THEN st "
+    f"ELSE named_struct('stack', concat(st.stack, array(named_struct('n', {_name('^<')}, 'i', i))), 'ends', st.ends) END "
+    f"WHEN x RLIKE '^</[a-zA-Z]' THEN get(transform(array(array_position(reverse(transform(st.stack, y -> y.n)), {_name('^</')})), "
+    "back -> CASE WHEN back = 0 THEN st ELSE named_struct("
+    "'stack', slice(st.stack, 1, cast(size(st.stack) - back AS INT)), "
+    "'ends', concat(st.ends, transform(slice(st.stack, cast(size(st.stack) - back + 1 AS INT), cast(back AS INT)), "
+    "y -> named_struct('s', y.i, 'e', i)))) END), 0) "
+    "ELSE st END), 0), "
+    "st -> map_from_entries(concat(st.ends, transform(st.stack, y -> named_struct('s', y.i, 'e', size(t) + 1)))))"
+)
+
+
+def parsed(page: Column) -> Column:
+    """``struct(tokens, ends)`` of a page, made once and read by every rule."""
+    return let_sql(tag_tokens(page), f"tk -> named_struct('tokens', tk, 'ends', get(transform(array(tk), {_ENDS}), 0))")
+
+
+def element_tokens(tree: Column, start_tag: StartTag) -> Column:
+    """Tokens inside the first element whose start tag ``start_tag`` matches, or null."""
+    at = F.array_position(F.transform(tree["tokens"], lambda x: x.rlike(start_tag.token)), True).cast("int")
+    # a start tag that opens nothing (void or self-closed) holds nothing
+    end = F.coalesce(F.element_at(tree["ends"], at), at + 1)
+    return F.when(at > 0, F.slice(tree["tokens"], at + 1, end - at - 1))
+
+
+def tokens_text(inner: Column) -> Column:
+    """Text of tokens: each text node stripped, then joined without a gap, as ``node_text``."""
+    texts = F.filter(inner, lambda x: ~x.startswith("<") | (x == "<"))
+    stripped = F.transform(texts, lambda x: let_sql(x, _STRIP_NODES))
+    return unescape(F.array_join(F.filter(stripped, lambda x: x != ""), ""))
+
+
 def element_markup(page: Column, start_tag: StartTag) -> Column:
     """Inner markup of the first element that ``start_tag`` finds, or null.
 

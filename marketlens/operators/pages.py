@@ -150,11 +150,15 @@ class FieldRule:
     remove: str = ""
 
 
-def field_text(page: Column, rule: FieldRule) -> Column:
-    """Text of a field by its rule, or the rule's default."""
+def field_text(tree: Column, rule: FieldRule) -> Column:
+    """Text of a field by its rule, or the rule's default, from a page's ``markup.parsed`` tree.
+
+    Start tags are matched attribute by attribute, so a ``>`` or a name inside a quoted value
+    changes nothing; an element ends with its end tag or with an element around it.
+    """
     tries = []
     for start in rule.starts:
-        found = markup.node_text(markup.element_markup(page, start))
+        found = markup.tokens_text(markup.element_tokens(tree, start))
         tries.append(F.nullif(found, F.lit("")) if rule.skip_empty else found)
     value = F.coalesce(*tries, F.lit(rule.default))
     return F.replace(value, F.lit(rule.remove), F.lit("")) if rule.remove else value
@@ -164,10 +168,10 @@ def page_fields(
     pages: DataFrame, rules: Mapping[str, FieldRule], keep: Sequence[str] = ("url",)
 ) -> DataFrame:
     """One row per page with the kept columns and one text column per rule."""
-    page = F.col("_page")
-    with_page = pages.withColumn("_page", markup.visible_markup(F.col("html")))
-    return with_page.select(
-        *keep, *(field_text(page, rule).alias(name) for name, rule in rules.items())
+    tree = F.col("_tree")
+    with_tree = pages.withColumn("_tree", markup.parsed(markup.visible_markup(F.col("html"))))
+    return with_tree.select(
+        *keep, *(field_text(tree, rule).alias(name) for name, rule in rules.items())
     )
 
 
@@ -205,13 +209,11 @@ QUICK_RULES: dict[str, FieldRule] = {
 }
 
 
-def price_text(page: Column) -> Column:
+def price_text(tree: Column) -> Column:
     """Whole and fraction part joined, else the off-screen price, else the default."""
 
     def text_of(css_class: str) -> Column:
-        return markup.node_text(
-            markup.element_markup(page, _START("span", classes=(css_class,)))
-        )
+        return markup.tokens_text(markup.element_tokens(tree, _START("span", classes=(css_class,))))
 
     whole, fraction = text_of("a-price-whole"), text_of("a-price-fraction")
     joined = F.concat(whole, F.coalesce(fraction, F.lit("")))
@@ -282,12 +284,12 @@ def product_details(pages: DataFrame, item_id: Column) -> DataFrame:
     A blocked or absent page keeps its id and status only. A page whose rank label leads
     nowhere has a parse error and no rank.
     """
-    page = F.col("_page")
+    page, tree = F.col("_page"), F.col("_tree")
     read = pages.select(
         item_id.alias("ASIN"),
         is_blocked(F.col("html")).alias("_blocked"),
         markup.visible_markup(F.col("html")).alias("_page"),
-    )
+    ).withColumn("_tree", markup.parsed(F.col("_page")))
 
     def unless_blocked(value: Column) -> Column:
         return F.when(~F.col("_blocked"), value)
@@ -297,10 +299,10 @@ def product_details(pages: DataFrame, item_id: Column) -> DataFrame:
     read = read.select("*", F.explode(F.array(_rank_unreadable(page))).alias("_broken"))
     return read.select(
         "ASIN",
-        unless_blocked(field_text(page, DETAIL_RULES["Title"])).alias("Title"),
-        unless_blocked(price_text(page)).alias("Price"),
+        unless_blocked(field_text(tree, DETAIL_RULES["Title"])).alias("Title"),
+        unless_blocked(price_text(tree)).alias("Price"),
         *(
-            unless_blocked(field_text(page, DETAIL_RULES[name])).alias(name)
+            unless_blocked(field_text(tree, DETAIL_RULES[name])).alias(name)
             for name in ("Rating", "Reviews", "Brand")
         ),
         F.when(~F.col("_blocked") & ~broken, rank_text(page)).alias("BSR"),
@@ -320,19 +322,19 @@ def quick_details(
     absent is an error too. This table does not test for blocked pages.
     """
     code = F.lit(200) if response_code is None else response_code
-    page = F.col("_page")
+    tree = F.col("_tree")
     read = pages.select(
         item_id.alias("ASIN"),
         F.when(code != 200, F.concat(F.lit("Status "), code.cast("string")))
         .when(F.col("html").isNull(), F.lit("no page"))
         .alias("Error"),
-        markup.visible_markup(F.col("html")).alias("_page"),
+        markup.parsed(markup.visible_markup(F.col("html"))).alias("_tree"),
     )
     fine = F.col("Error").isNull()
     return read.select(
         "ASIN",
         *(
-            F.when(fine, field_text(page, rule)).alias(name)
+            F.when(fine, field_text(tree, rule)).alias(name)
             for name, rule in QUICK_RULES.items()
         ),
         F.when(fine, detail_url(F.col("ASIN"))).alias("URL"),

@@ -167,7 +167,7 @@ def test_price_text(values_of):
     whole = '<span class="a-price-whole">5</span>'
     off = '<span class="a-offscreen"> $6.00 </span>'
     texts = [whole, whole + '<span class="a-price-fraction">49</span>' + off, off, "x"]
-    assert values_of(pages.price_text, texts) == ["5", "549", "$6.00", "N/A"]
+    assert values_of(lambda c: pages.price_text(markup.parsed(c)), texts) == ["5", "549", "$6.00", "N/A"]
 
 
 def test_quick_details(spark):
@@ -297,3 +297,39 @@ def test_every_paragraph_is_a_bullet(spark):
     stored = table(spark, sf_dir, "pages").select(markup.visible_markup(F.col("html")).alias("page")).collect()
     starts = sum(len(re.findall(r"(?i)<p[\s>]", r.page)) for r in stored)
     assert _page_listings(spark, sf_dir).agg(F.sum(F.size("bullets"))).first()[0] == starts
+
+
+@pytest.mark.parametrize(
+    "page, start, want",
+    [
+        ('<div><span id="productTitle" title="a>b">Name &amp; co</span></div>', ("span", "productTitle", ()), "Name & co"),
+        ('<p><span class="x">open</p><p>other paragraph</p>', ("span", None, ("x",)), "open"),
+        ('<span title="id=productTitle">no</span><span id=productTitle>yes</span>', ("span", "productTitle", ()), "yes"),
+        ('<div class="a b"><div>in</div> <br> tail<img src=x></div>after', ("div", None, ("b",)), "intail"),
+        ('<b id="t">x</i>y</b>z', ("b", "t", ()), "xy"),
+        ('<ul><li id=k>one<li>two</ul>three', ("li", "k", ()), "onetwo"),
+        ("<span id='k' data-x='1>2' class=z>in <i>side</span>out", ("span", "k", ()), "inside"),
+        ('<span id="k"/>after', ("span", "k", ()), ""),
+        ("nothing here", ("span", "k", ()), None),
+        ("", ("span", "k", ()), None),
+    ],
+)
+def test_elements_by_tokens(value_of, page, start, want):
+    """Quoted values hide '>' and names; an element ends with its end tag or its parent's."""
+    tag, element_id, classes = start
+    rule = markup.open_tag(tag, element_id=element_id, classes=classes)
+    got = value_of(lambda c: markup.tokens_text(markup.element_tokens(markup.parsed(c), rule)), page)
+    assert got == want
+
+
+def test_fields_on_varied_pages(spark):
+    """Attribute order, quotes and unclosed elements do not change the detail fields."""
+    shapes = [
+        '<span class="a-size-large" id="productTitle"> Lamp </span><span class="a-price-whole">12</span>',
+        "<span id=productTitle data-note='x>y'>Lamp</span><span class='a-price-whole'>12</span>",
+        '<div><span id="productTitle">Lamp</div><span class="a-price-fraction">99</span>'
+        '<span class="a-offscreen">$12.99</span>',
+    ]
+    frame = spark.createDataFrame([(i, s) for i, s in enumerate(shapes)], "item long, html string")
+    rows = {r.ASIN: (r.Title, r.Price) for r in pages.product_details(frame, F.col("item")).collect()}
+    assert rows == {0: ("Lamp", "12"), 1: ("Lamp", "12"), 2: ("Lamp", "$12.99")}
