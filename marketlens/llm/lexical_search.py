@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.tables import small, work_folder
+from marketlens.llm.tables import durable, small, work_folder
 
 # Fixed values of the ranking contract: the term pattern, the letters that are lower-cased, the
 # weight and length constants, and the number of results per query.
@@ -45,8 +45,10 @@ SLICE_DOCS = 16_384
 #: Salts of the first merge of per-task bests.
 MERGE_SALTS = 64
 
-_LOWER = str.maketrans(UPPER, LOWER)
-_TERM = re.compile(TERM)
+_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
+# on UTF-8 bytes: every byte of a character past ASCII is 0x80 or more, so terms end where they do
+# in the text
+_TERM = re.compile(TERM.encode())
 
 
 def terms_of(text: Column) -> Column:
@@ -54,8 +56,9 @@ def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(TERM), 0)
 
 
-def python_terms(text: str | None) -> list[str]:
-    return _TERM.findall((text or "").translate(_LOWER))
+def python_terms(text: str | None) -> list[bytes]:
+    """The terms of a text as UTF-8 bytes, in order, with repeats."""
+    return _TERM.findall((text or "").encode().translate(_LOWER))
 
 
 def weight(n_docs: int, df: int) -> int:
@@ -67,22 +70,26 @@ def tf_part(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def query_weights(documents: DataFrame, queries: DataFrame, text: str, query_key: str) -> tuple[DataFrame, int, int]:
-    """``qkey, term, w`` for each distinct term of a query that some document holds; N and L."""
-    terms = documents.select(terms_of(F.col(text)).alias("terms"))
-    totals = terms.agg(
-        F.count(F.when(F.size("terms") > 0, 1)).alias("n_docs"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("n_terms")
-    ).first()
+    """``qkey, term, w`` for each distinct term of a query that some document holds; N and L.
+
+    One scan of the documents: each document gives its distinct terms and one row under the empty
+    term, which no text holds, so that a single aggregation counts document frequencies and the
+    totals together. The result, one row per query term, is kept durable.
+    """
     asked = queries.select(F.col(query_key).alias("qkey"), F.explode(F.array_distinct(terms_of(F.col(text)))).alias("term")).distinct()
-    vocabulary = asked.select("term").distinct()
+    vocabulary = asked.select("term").union(documents.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
     rows = vocabulary.count()
-    held = (
-        terms.select(F.explode(F.array_distinct("terms")).alias("term"))
-        .join(small(vocabulary, rows), "term", "left_semi")
+    per_doc = documents.select(terms_of(F.col(text)).alias("terms")).select(
+        F.size("terms").alias("n"), F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit("")))).alias("term")
+    )
+    held = durable(
+        per_doc.join(small(vocabulary, rows), "term", "left_semi")
         .groupBy("term")
-        .agg(F.count("*").alias("df"))
+        .agg(F.count(F.when(F.col("n") > 0, 1)).alias("df"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     )
-    n_docs, n_terms = totals.n_docs, totals.n_terms
-    weights = asked.join(held, "term").select(
+    totals = held.where(F.col("term") == "").first()
+    n_docs, n_terms = (totals.df, totals.total) if totals else (0, 0)
+    weights = asked.join(held.where(F.col("term") != ""), "term").select(
         "qkey", "term", F.floor(1000 * F.log((2 * F.lit(n_docs) + 2) / (2 * F.col("df") + 1))).cast("long").alias("w")
     )
     return weights, n_docs, n_terms
@@ -97,12 +104,12 @@ def rank_chunk(
 ) -> list[tuple[object, object, int]]:
     """``(query key, document key, score)`` of each query's best ``top`` documents in a chunk.
 
-    ``block`` maps a term to its (query key, weight) pairs. Documents are grouped per query by
+    ``block`` maps a term, in UTF-8 bytes, to its (query key, weight) pairs. Documents are grouped per query by
     the mask of its terms they hold; masks are scored by descending bound until the ``top``-th
     score exceeds every bound left. Scores of 0 are never returned.
     """
     lengths = np.zeros(len(keys), np.int64)
-    postings: dict[str, tuple[list[int], list[int]]] = {}
+    postings: dict[bytes, tuple[list[int], list[int]]] = {}
     for at, body in enumerate(texts):
         found = python_terms(body)
         lengths[at] = len(found)
@@ -115,7 +122,7 @@ def rank_chunk(
         return []
     m = LENGTH_BASE + (LENGTH_SCALE * lengths * n_docs) // n_terms
     lists = {t: (np.array(d, np.int64), tf_part(np.array(f, np.int64), m[np.array(d, np.int64)])) for t, (d, f) in postings.items()}
-    asked: dict[object, list[tuple[str, int]]] = {}
+    asked: dict[object, list[tuple[bytes, int]]] = {}
     for term in lists:
         for query, w in block[term]:
             asked.setdefault(query, []).append((term, w))
@@ -190,6 +197,7 @@ def ranked_search(
     docs = documents.select(F.col(key).alias("dkey"), F.col(text).alias("text"))
     asked = queries.select(F.col(query_key).alias("qkey"), F.col(text).alias("text"))
     weights, n_docs, n_terms = query_weights(docs, asked, "text", "qkey")
+    weights = durable(weights)
     count = weights.count()
     blocks = max(1, -(-count // BLOCK_TERMS))
     dealt = weights.withColumn("block", F.pmod(F.xxhash64("qkey"), F.lit(blocks)))
@@ -202,7 +210,7 @@ def ranked_search(
     for block in range(blocks):
         table: dict[str, list[tuple[int, int]]] = {}
         for row in dealt.where(F.col("block") == block).toLocalIterator():
-            table.setdefault(row.term, []).append((row.qkey, row.w))
+            table.setdefault(row.term.encode(), []).append((row.qkey, row.w))
         shared = spark.sparkContext.broadcast(table)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
