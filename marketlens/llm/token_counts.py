@@ -3,7 +3,7 @@
 A byte-level BPE merges only inside a pre-token, so a text's count is the number of special tokens
 in it plus the sum of its pre-tokens' BPE lengths. Tier one is a compact table of the lengths of
 frequent pre-tokens, counted on a bounded sample and broadcast; tier two is a cache that each task
-owns, filled by encoding its misses in batches. Every document is counted in the map task that
+owns, filled by encoding the misses of a group of documents in one call. Every document is counted in the map task that
 reads it: no pre-token is shuffled, and the tables are bounded in entries and bytes.
 """
 
@@ -25,6 +25,8 @@ SAMPLE_BYTES = 64 << 20
 #: Entries of the broadcast table, and the longest pre-token it holds, in characters.
 TABLE_ENTRIES = 100_000
 TABLE_KEY_CHARS = 24
+#: Text whose pre-tokens are looked up together, so that misses are encoded in one call.
+GROUP_BYTES = 4 << 20
 #: Entries a task's cache holds before it starts afresh; pre-tokens encoded at once.
 CACHE_ENTRIES = 200_000
 MISS_BATCH = 20_000
@@ -69,8 +71,9 @@ class PreTokens:
 def frequent_lengths(documents: DataFrame, path: str, text: str = "text") -> dict[str, int]:
     """Tier one: BPE lengths of the most frequent short pre-tokens of a bounded sample.
 
-    The sample is the first ``SAMPLE_ROWS`` rows, read up to ``SAMPLE_BYTES``; it only chooses what
-    is looked up first, so results do not depend on it. Counting and encoding run in one task; the
+    The sample is a Bernoulli sample of about ``SAMPLE_ROWS`` rows, read up to ``SAMPLE_BYTES``, so
+    that only sampled rows are sent to the counting task; it only chooses what is looked up first,
+    so results do not depend on it. Counting and encoding run in one task; the
     driver receives at most ``TABLE_ENTRIES`` keys of at most ``TABLE_KEY_CHARS`` characters.
     """
 
@@ -88,7 +91,9 @@ def frequent_lengths(documents: DataFrame, path: str, text: str = "text") -> dic
         lengths = [len(e.ids) for e in tokenizer.encode_batch_fast(keys, add_special_tokens=False)] if keys else []
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(lengths, pa.int32())], ["piece", "n"])
 
-    sample = documents.select(no_null(text).alias("text")).limit(SAMPLE_ROWS).coalesce(1)
+    rows = documents.count()
+    share = min(1.0, 1.25 * SAMPLE_ROWS / max(rows, 1))
+    sample = documents.select(no_null(text).alias("text")).sample(fraction=share, seed=11).limit(SAMPLE_ROWS)
     return {row.piece: row.n for row in sample.mapInArrow(count, "piece string, n int").collect()}
 
 
@@ -104,25 +109,33 @@ def token_counts(documents: DataFrame, path: str, key: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
-        cut, known, cache = PreTokens(path), table.value, {}
+        cut, known = PreTokens(path), table.value
         tokenizer = Tokenizer.from_file(path)
-
-        def encode(pieces: list[str]) -> None:
-            for i in range(0, len(pieces), MISS_BATCH):
-                chunk = pieces[i : i + MISS_BATCH]
+        lookup = dict(known)  # tier one, then the misses this task has encoded
+
+        def counted(bodies: list[str]) -> list[int]:
+            nonlocal lookup
+            split = [cut.split(body) for body in bodies]
+            missed = {p for _, pieces in split for p in pieces if p not in lookup}
+            if len(lookup) + len(missed) > len(known) + CACHE_ENTRIES:
+                lookup = dict(known)
+                missed = {p for _, pieces in split for p in pieces if p not in lookup}
+            missed = list(missed)
+            for i in range(0, len(missed), MISS_BATCH):
+                chunk = missed[i : i + MISS_BATCH]
                 for piece, made in zip(chunk, tokenizer.encode_batch_fast(chunk, add_special_tokens=False)):
-                    cache[piece] = len(made.ids)
+                    lookup[piece] = len(made.ids)
+            return [specials + sum(map(lookup.__getitem__, pieces)) for specials, pieces in split]
 
         for batch in batches:
-            counts = []
+            counts, bodies, held = [], [], 0
             for body in batch.column(1).to_pylist():
-                specials, pieces = cut.split(body)
-                missed = {p for p in pieces if p not in known and p not in cache}
-                if len(cache) + len(missed) > CACHE_ENTRIES:
-                    cache.clear()
-                    missed = {p for p in pieces if p not in known}
-                encode(list(missed))
-                counts.append(specials + sum(known.get(p) or cache[p] for p in pieces))
+                bodies.append(body)
+                held += len(body)
+                if held > GROUP_BYTES:
+                    counts += counted(bodies)
+                    bodies, held = [], 0
+            counts += counted(bodies)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(counts, pa.int64())], ["key", "n_bytes", "n_tokens"]
             )
