@@ -22,6 +22,8 @@ TREE_SHINGLES = 500_000
 MERGING = 0.05
 #: Sets of each group that the last round compares with the others.
 PIVOTS = 8
+#: Shingles whose bins are counted at once.
+BIN_LOT = 1 << 20
 #: Sets of one block of a group.
 GROUP_SETS = 4_096
 
@@ -34,11 +36,20 @@ def _profiled(documents: DataFrame, key: str, text: str, words: int) -> DataFram
         bins = np.zeros(BINS, np.int64)
         names = ["key", "n", "set_number", "bins"]
         for batch in batches:
-            sets = [shingle_set(body, words) for body in batch.column(1).to_pylist()]
-            if sets:
-                bins += np.bincount(bin_of(np.concatenate(sets)), minlength=BINS)
-            numbers = [set_number(s) for s in sets]
-            made = [batch.column(0), [len(s) for s in sets], numbers, [None] * len(sets)]
+            # text by text: a set is counted into bins in bounded lots and then let go
+            sizes, numbers, waiting, held = [], [], [], 0
+            for body in batch.column(1).to_pylist():
+                found = shingle_set(body, words)
+                sizes.append(len(found))
+                numbers.append(set_number(found))
+                waiting.append(bin_of(found))
+                held += len(found)
+                if held > BIN_LOT:
+                    bins += np.bincount(np.concatenate(waiting), minlength=BINS)
+                    waiting, held = [], 0
+            if waiting:
+                bins += np.bincount(np.concatenate(waiting), minlength=BINS)
+            made = [batch.column(0), sizes, numbers, [None] * len(sizes)]
             yield _batch(names, made, [batch.column(0).type, pa.int64(), pa.int64(), pa.binary()])
         if bins.any():
             kind_of_key = batch.column(0).type
@@ -97,19 +108,26 @@ def similar_documents(
     Other columns are not read. Sets are told apart by 64-bit numbers: for m distinct sets the
     chance that any two are taken for one is below m * m / 2**65.
     """
+    profile, grouped, least = _classes(documents, key, text, words, percent)
+    alone = profile.where("key is null or set_number is null").select("key", "n", F.col("key").alias("least"))
+    return (
+        grouped.join(least, "component").select("key", "n", "least").unionByName(alone)
+        .select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    )
+
+
+def _classes(documents: DataFrame, key: str, text: str, words: int, percent: int):
+    """``profile`` (key, n, set_number) of every row, ``grouped`` (key, n, set_number, component) of
+    the rows with a key and shingles, and ``least`` (component, least): the smallest key of each."""
     context = documents.sparkSession.sparkContext
     raw = durable(_profiled(documents, key, text, words))
     profile = raw.where("n >= 0").select("key", "n", "set_number")
     rank = context.broadcast(_bin_ranks(raw.where("n < 0").select("bins")))
     classes = _set_classes(documents, profile, key, text, words, percent, rank)
     grouped = profile.where("key is not null and set_number is not null").join(classes, "set_number", "left")
-    grouped = grouped.select("key", "n", F.coalesce("component", "set_number").alias("component"))
+    grouped = grouped.select("key", "n", "set_number", F.coalesce("component", "set_number").alias("component"))
     least = grouped.groupBy("component").agg(F.min("key").alias("least"))
-    alone = profile.where("key is null or set_number is null").select("key", "n", F.col("key").alias("least"))
-    return (
-        grouped.join(least, "component").select("key", "n", "least").unionByName(alone)
-        .select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
-    )
+    return profile, grouped, least
 
 
 def _set_classes(
@@ -399,19 +417,38 @@ def _cross_links(low: int, high: int, held: dict[str, list], percent: int, whole
     return a, b
 
 
-def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT
+) -> DataFrame:
     """Documents without the near copies of an earlier one: the smallest key of each class stays.
 
-    All columns pass through. Of rows that repeat a key of a class, one stays.
+    A row is judged by its key and its own shingle set: it goes if the class of its set holds a
+    smaller key, and of rows that repeat both key and set one stays. Rows of one key with sets in
+    different classes are judged each on its own; rows without shingles (null, empty or blank text)
+    or without a key link with nothing and all stay. All columns pass through.
     """
-    found = durable(similar_documents(documents, key, text))
-    gone = durable(found.where(F.col(key) != F.col("component_id")).select(key).distinct())
-    again = durable(
-        found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
+    _, grouped, least = _classes(documents, key, text, words, percent)
+    tag, number, smallest = "_one_of_each_set", "_one_of_each_number", "_one_of_each_least"
+    leasts = durable(
+        grouped.join(least, "component").select(F.col("set_number").alias(number), F.col("least").alias(smallest)).distinct()
     )
-    kept = documents.join(small(gone, gone.count()), key, "left_anti")
-    if again.isEmpty():
-        return kept.select(documents.columns)
-    twice = small(again, again.count())
-    single = kept.join(twice, key, "left_anti").select(documents.columns)
-    return single.unionByName(kept.join(twice, key, "left_semi").select(documents.columns).dropDuplicates([key]))
+    tagged = _with_set_numbers(documents, key, text, words, tag)
+    judged = tagged.join(leasts, tagged[tag] == leasts[number], "left")
+    plain = F.col(tag).isNull() | F.col(key).isNull()
+    first = judged.where(~plain & (F.col(smallest) == F.col(key))).dropDuplicates([key, tag])
+    return judged.where(plain).select(documents.columns).unionByName(first.select(documents.columns))
+
+
+def _with_set_numbers(documents: DataFrame, key: str, text: str, words: int, tag: str) -> DataFrame:
+    """All columns and ``tag``: the number of the row's shingle set, null without shingles."""
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    schema = StructType([*documents.schema.fields, StructField(tag, LongType())])
+    at = documents.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = [set_number(shingle_set(body, words)) for body in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], [*batch.schema.names, tag])
+
+    return documents.mapInArrow(run, schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.tables import durable
+from marketlens.llm.tables import durable, end_of_task, task_cache
 
 #: Tokens of the longest sequence, a power of two.
 LONGEST = 4096
@@ -71,7 +71,7 @@ class WordTokenizer:
         return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+_TOKENIZERS: dict[str, WordTokenizer] = task_cache({})
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
@@ -126,17 +126,20 @@ def token_pieces(
     key_type = to_arrow_type(documents.schema[key].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, texts, held = [], [], 0
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys.append(name)
-                texts.append(body)
-                held += len(body or "")
-                if held > TEXT_BYTES:
+        try:
+            for batch in batches:
+                keys, texts, held = [], [], 0
+                for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    keys.append(name)
+                    texts.append(body)
+                    held += len(body or "")
+                    if held > TEXT_BYTES:
+                        yield cut(keys, texts)
+                        keys, texts, held = [], [], 0
+                if keys:
                     yield cut(keys, texts)
-                    keys, texts, held = [], [], 0
-            if keys:
-                yield cut(keys, texts)
+        finally:
+            end_of_task()
 
     return documents.select(key, text).mapInArrow(run, schema)
 

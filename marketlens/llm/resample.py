@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from marketlens.llm.labelled import LABELLED_ROWS, labelled_sample
-from marketlens.llm.tables import durable, filter_rows, map_columns
+from marketlens.llm.tables import durable, end_of_task, filter_rows, map_columns, task_cache
 
 #: Buckets of word unigrams and of word bigrams, and of shape trigrams.
 WORD_BUCKETS = 1 << 13
@@ -48,7 +48,7 @@ class _Codes(dict):
         return code
 
 
-_CODES = _Codes()
+_CODES = task_cache(_Codes())
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,6 +91,7 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
             if waiting:
                 total += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
         here = np.flatnonzero(total)
+        end_of_task()
         yield pa.RecordBatch.from_arrays([pa.array(here, pa.int64()), pa.array(total[here], pa.int64())], ["bucket", "n"])
 
     sums = texts.mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()

@@ -42,6 +42,22 @@ def small(frame: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(frame) if rows <= BROADCAST_ROWS else frame
 
 
+#: Caches of a Python worker that must not outlive the task that filled it; a reused worker would
+#: otherwise carry them from stage to stage.
+TASK_CACHES: list = []
+
+
+def task_cache(cache):
+    """Register ``cache`` (anything with ``clear``) to be emptied when a task's map function ends."""
+    TASK_CACHES.append(cache)
+    return cache
+
+
+def end_of_task() -> None:
+    for cache in TASK_CACHES:
+        cache.clear()
+
+
 def no_null(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
@@ -55,11 +71,14 @@ def map_columns(frame: DataFrame, schema: str, work: Callable[..., dict]) -> Dat
     arrow = to_arrow_schema(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = work(*(column.to_pylist() for column in batch.columns))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(made[field.name], field.type) for field in arrow], schema=arrow
-            )
+        try:
+            for batch in batches:
+                made = work(*(column.to_pylist() for column in batch.columns))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(made[field.name], field.type) for field in arrow], schema=arrow
+                )
+        finally:
+            end_of_task()
 
     return frame.mapInArrow(run, wanted)
 
@@ -68,8 +87,11 @@ def filter_rows(frame: DataFrame, columns: list[str], keep: Callable[..., list[b
     """Rows for which ``keep(column lists...)`` says so; all columns pass through untouched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mask = keep(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns))
-            yield batch.filter(pa.array(mask, pa.bool_()))
+        try:
+            for batch in batches:
+                mask = keep(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns))
+                yield batch.filter(pa.array(mask, pa.bool_()))
+        finally:
+            end_of_task()
 
     return frame.mapInArrow(run, frame.schema)

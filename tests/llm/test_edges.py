@@ -297,3 +297,20 @@ def test_fold_of_text_keys(spark):
 
     keys = spark.range(50).select("id", labelled.fold(F.col("id")).alias("fold")).collect()
     assert all(r.fold == zlib.crc32(str(r.id).encode()) % 3 for r in keys)
+
+
+def test_one_of_each_judges_rows_by_key_and_set(spark):
+    """Repeated keys with different texts, a null text, ties and a near copy of a smaller key."""
+    rows = [
+        (1, "a b c d e f"),
+        (1, "x y z w v u"),
+        (1, None),
+        (1, "a b c d e f"),
+        (2, "a b c d e f"),
+        (3, "x y z w v u"),
+        (3, ""),
+        (None, "a b c d e f"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id or 0), r.text or "") for r in jaccard.one_of_each(frame).collect())
+    assert kept == [(0, "a b c d e f"), (1, ""), (1, "a b c d e f"), (1, "x y z w v u"), (3, "")]
