@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marketlens.llm.components import components
 from marketlens.llm.prefix_tree import PrefixTree, least_overlap, prefix_length
 from marketlens.llm.shingles import BINS, bin_of, in_order, set_number, shingle_set
-from marketlens.llm.tables import durable, small
+from marketlens.llm.tables import durable, small, task_scoped
 
 WORDS = 5
 PERCENT = 80
@@ -32,6 +32,7 @@ def _profiled(documents: DataFrame, key: str, text: str, words: int) -> DataFram
     """A row for each document (key, n, set_number), and one with bin counts for each task."""
     kind = documents.schema[key].dataType.simpleString()
 
+    @task_scoped
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = np.zeros(BINS, np.int64)
         names = ["key", "n", "set_number", "bins"]
@@ -135,6 +136,7 @@ def _set_classes(
 ) -> DataFrame:
     """``set_number, component`` of the sets that have links."""
 
+    @task_scoped
     def first_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, numbers, heads = [], [], []
@@ -256,6 +258,7 @@ class _Sets:
         )
         texts = self.documents.select(self.key, self.text).join(small(owners, owners.count()), self.key)
 
+        @task_scoped
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 numbers, sets = [], []
@@ -337,6 +340,7 @@ def _per_job(rows: DataFrame, keys: int, work) -> DataFrame:
     """
     names = rows.columns
 
+    @task_scoped
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done() -> pa.RecordBatch:
             a, b = work(at, held)
@@ -446,6 +450,7 @@ def _with_set_numbers(documents: DataFrame, key: str, text: str, words: int, tag
     schema = StructType([*documents.schema.fields, StructField(tag, LongType())])
     at = documents.columns.index(text)
 
+    @task_scoped
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             numbers = [set_number(shingle_set(body, words)) for body in batch.column(at).to_pylist()]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -54,8 +56,27 @@ def task_cache(cache):
 
 
 def end_of_task() -> None:
+    """Empty the registered caches and hand freed Arrow and C heap memory back to the system."""
     for cache in TASK_CACHES:
         cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:  # glibc only; elsewhere freed memory stays with the process
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def task_scoped(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A map function over Arrow batches that calls ``end_of_task`` when it ends."""
+
+    def scoped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            end_of_task()
+
+    return scoped
 
 
 def no_null(text: str = "text") -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from marketlens.llm import toxic_grammar as grammar
 from marketlens.llm.labelled import LABELLED_ROWS, fold, labelled_sample
-from marketlens.llm.tables import durable, filter_rows, map_columns
+from marketlens.llm.tables import durable, filter_rows, map_columns, task_scoped
 
 #: A document is called toxic from this score on.
 TOXIC = 0.7
@@ -82,6 +82,7 @@ def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     count, toxic = totals[0], totals[1]
     base = (toxic + 0.5) / (count + 1)
 
+    @task_scoped
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_, bad, sets = Counter(), Counter(), Counter()
         for batch in batches:
