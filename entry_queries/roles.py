@@ -32,6 +32,18 @@ def dealt(rows: DataFrame) -> DataFrame:
     return readers.spread(rows, int(asked) if asked else None)
 
 
+def dealt_rows(rows: DataFrame) -> DataFrame:
+    """Rows that are about to become pages, dealt over the session's tasks even without the setting.
+
+    A part takes some ten bytes of its file and a thousand as a page, so splits by file size give
+    all pages of a large table to a few tasks.
+    """
+    conf = rows.sparkSession.conf
+    asked = conf.get("spark.marketlens.inputPartitions", None)
+    tasks = max(int(conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    return readers.spread(rows, int(asked) if asked else tasks)
+
+
 def damaged(text: Column) -> Column:
     """UTF-8 bytes read as Latin-1."""
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
@@ -131,7 +143,7 @@ def item_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         unless(4, F.concat(F.lit("<td><span>#1,"), key, F.lit("</span> in Cases (See Top)</td>"))),
         F.lit("</tr></table></html>"),
     )
-    return dealt(table(spark, sf_dir, "part")).select(
+    return dealt_rows(table(spark, sf_dir, "part")).select(
         F.lpad(key, 10, "B").alias("item"), F.when(size != 2, html).alias("html")
     )
 
@@ -146,7 +158,7 @@ def ranking_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit('">item</li>'),
         )
 
-    return table(spark, sf_dir, "part").select(
+    return dealt_rows(table(spark, sf_dir, "part")).select(
         F.concat(F.lit("/top/"), key.cast("string")).alias("url"),
         F.concat(F.lit("<ul>"), item(key), item(key + 1), F.lit("</ul>")).alias("html"),
     )

@@ -16,7 +16,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marketlens.functions.binding import let_sql, quoted
+from marketlens.functions.binding import let, let_sql, quoted
 from marketlens.functions.text import WHITESPACE, char_class
 
 _SPACE = char_class(WHITESPACE)
@@ -86,8 +86,14 @@ def _sql_unescape() -> str:
         "WHEN d.hex THEN cast(conv(v.value, 16, 10) AS BIGINT) ELSE cast(v.value AS BIGINT) END), "
         f"code -> concat({character}, CASE WHEN v.rest LIKE ';%' THEN substring(v.rest, 2) ELSE v.rest END)), 0)), 0)), 0)"
     )
+    # the names that pages hold most, closed by ";", need no search
+    usual = " ".join(
+        f"WHEN startswith(p, {quoted(n)}) THEN concat({quoted(html5[n])}, substring(p, {len(n) + 1}))"
+        for n in ("amp;", "lt;", "gt;", "quot;", "nbsp;")
+    )
     piece = (
-        "CASE WHEN p RLIKE '^#[0-9]' AND NOT p RLIKE '^#[xX]' THEN {n} "
+        f"CASE {usual} "
+        "WHEN p RLIKE '^#[0-9]' AND NOT p RLIKE '^#[xX]' THEN {n} "
         "WHEN p RLIKE '^#[xX][0-9a-fA-F]' THEN {n} ELSE {named} END"
     ).format(n=number, named=named)
     decoded = f"array_join(transform(split(t, '&'), (p, i) -> CASE WHEN i = 0 THEN p ELSE {piece} END), '')"
@@ -198,43 +204,55 @@ def tag_tokens(page: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(page, F.lit("")), F.lit(_TOKEN), F.lit(0))
 
 
-def _name(prefix: str) -> str:
-    return f"lower(regexp_extract(x, {quoted(prefix + r'([a-zA-Z][^\s/>]*)')}, 1))"
-
-
 _VOIDS = ", ".join(map(quoted, VOID_ELEMENTS))
-# For every start tag that opens an element, the index of the token that ends it: its own end
-# tag, or an end tag that closes an element around it. An end tag closes the latest open element
-# of its name and every element opened after that one; an end tag with no open element of its
-# name is passed over. Elements open at the end of the page end after the last token.
+# The tags that open or end an element: place among the tokens, lower-case name, end tag or not.
+# Byte tests come first, so a name is looked for once per tag and never in text.
+_TAGS = (
+    "filter(transform(tk, (x, i) -> named_struct('i', i + 1, 'end', startswith(x, '</'), "
+    f"'n', CASE WHEN startswith(x, '<') THEN lower(regexp_extract(x, {quoted(r'^</?([a-zA-Z][^\s/>]*)')}, 1)) ELSE '' END, "
+    f"'closed', endswith(x, '/>'))), y -> y.n <> '' AND (y.end OR NOT (y.closed OR y.n IN ({_VOIDS}))))"
+)
+# For every start tag that opens an element (``s``), the index of the token that ends it (``e``):
+# its own end tag, or an end tag that closes an element around it. An end tag closes the latest open
+# element of its name and every element opened after that one; an end tag with no open element of
+# its name is passed over. Elements open at the end of the page end after the last token. The open
+# elements' names and places (``names``, ``open``) stand latest first.
+_NO_INDEX, _NO_NAME = "filter(array(0), z -> false)", "filter(array(''), z -> false)"
 _ENDS = (
-    "t -> aggregate(filter(sequence(1, greatest(size(t), 1)), i -> i <= size(t)), named_struct("
-    "'stack', filter(array(named_struct('n', '', 'i', 0)), z -> false), "
-    "'ends', filter(array(named_struct('s', 0, 'e', 0)), z -> false)), "
-    "(st, i) -> get(transform(array(element_at(t, i)), x -> CASE "
-    f"WHEN x RLIKE '^<[a-zA-Z]' THEN CASE WHEN x RLIKE '/>$' OR {_name('^<')} IN ({_VOIDS}) THEN st "
-    f"ELSE named_struct('stack', concat(st.stack, array(named_struct('n', {_name('^<')}, 'i', i))), 'ends', st.ends) END "
-    f"WHEN x RLIKE '^</[a-zA-Z]' THEN get(transform(array(array_position(reverse(transform(st.stack, y -> y.n)), {_name('^</')})), "
-    "back -> CASE WHEN back = 0 THEN st ELSE named_struct("
-    "'stack', slice(st.stack, 1, cast(size(st.stack) - back AS INT)), "
-    "'ends', concat(st.ends, transform(slice(st.stack, cast(size(st.stack) - back + 1 AS INT), cast(back AS INT)), "
-    "y -> named_struct('s', y.i, 'e', i)))) END), 0) "
-    "ELSE st END), 0), "
-    "st -> map_from_entries(concat(st.ends, transform(st.stack, y -> named_struct('s', y.i, 'e', size(t) + 1)))))"
+    f"aggregate({_TAGS}, named_struct('names', {_NO_NAME}, 'open', {_NO_INDEX}, 's', {_NO_INDEX}, 'e', {_NO_INDEX}), "
+    "(st, y) -> CASE WHEN NOT y.end THEN named_struct('names', concat(array(y.n), st.names), "
+    "'open', concat(array(y.i), st.open), 's', st.s, 'e', st.e) "
+    "ELSE get(transform(array(cast(array_position(st.names, y.n) AS INT)), back -> CASE WHEN back = 0 THEN st "
+    "ELSE named_struct('names', slice(st.names, back + 1, size(st.names)), 'open', slice(st.open, back + 1, size(st.open)), "
+    "'s', concat(st.s, slice(st.open, 1, back)), 'e', concat(st.e, array_repeat(y.i, back))) END), 0) END, "
+    "st -> named_struct('s', concat(st.s, st.open), 'e', concat(st.e, array_repeat(size(tk) + 1, size(st.open)))))"
 )
 
 
 def parsed(page: Column) -> Column:
     """``struct(tokens, ends)`` of a page, made once and read by every rule."""
-    return let_sql(tag_tokens(page), f"tk -> named_struct('tokens', tk, 'ends', get(transform(array(tk), {_ENDS}), 0))")
+    return let_sql(tag_tokens(page), f"tk -> named_struct('tokens', tk, 'ends', {_ENDS})")
 
 
 def element_tokens(tree: Column, start_tag: StartTag) -> Column:
-    """Tokens inside the first element whose start tag ``start_tag`` matches, or null."""
-    at = F.array_position(F.transform(tree["tokens"], lambda x: x.rlike(start_tag.token)), True).cast("int")
-    # a start tag that opens nothing (void or self-closed) holds nothing
-    end = F.coalesce(F.element_at(tree["ends"], at), at + 1)
-    return F.when(at > 0, F.slice(tree["tokens"], at + 1, end - at - 1))
+    """Tokens inside the first element whose start tag ``start_tag`` matches, or null.
+
+    A byte search for the tag's values goes before the regex, and the place is found once.
+    """
+    tokens, ends = tree["tokens"], tree["ends"]
+
+    def matches(x: Column) -> Column:
+        possible = F.startswith(x, F.lit("<"))
+        for needle in start_tag.needles:
+            possible = possible & F.contains(x, F.lit(needle))
+        return possible & x.rlike(start_tag.token)
+
+    def inside(at: Column) -> Column:
+        # a start tag that opens nothing (void or self-closed) holds nothing
+        end = F.coalesce(F.get(ends["e"], (F.array_position(ends["s"], at) - 1).cast("int")), at + 1)
+        return F.when(at > 0, F.slice(tokens, at + 1, end - at - 1))
+
+    return let(F.array_position(F.transform(tokens, matches), True).cast("int"), inside)
 
 
 def tokens_text(inner: Column) -> Column:

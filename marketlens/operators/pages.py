@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from marketlens import fixed_values as fv
 from marketlens.functions import markup
+from marketlens.functions.binding import let
 from marketlens.operators import ranking
 
 # Letters and digits as Python's isalpha() and isdigit() see them.
@@ -159,7 +160,8 @@ def field_text(tree: Column, rule: FieldRule) -> Column:
     tries = []
     for start in rule.starts:
         found = markup.tokens_text(markup.element_tokens(tree, start))
-        tries.append(F.nullif(found, F.lit("")) if rule.skip_empty else found)
+        # named, so that the test for an empty text does not find it anew
+        tries.append(let(found, lambda text: F.when(text != "", text)) if rule.skip_empty else found)
     value = F.coalesce(*tries, F.lit(rule.default))
     return F.replace(value, F.lit(rule.remove), F.lit("")) if rule.remove else value
 
