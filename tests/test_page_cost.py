@@ -31,9 +31,9 @@ def test_a_start_tag_is_looked_for_once(spark):
         F.explode(F.array(markup.parsed(F.col("html")))).alias("tree")
     )
     tag = markup.open_tag("b", "t")
-    assert plan_of(trees.select(markup.element_tokens(F.col("tree"), tag))).count("^<(?i:b)") == 1
+    assert plan_of(trees.select(markup.element_tokens(F.col("tree"), tag).alias("r"))).count("^<(?i:b)") == 1
     rule = pages.FieldRule((tag,), skip_empty=True)
-    assert plan_of(trees.select(pages.field_text(F.col("tree"), rule))).count("^<(?i:b)") == 1
+    assert plan_of(trees.select(pages.field_text(F.col("tree"), rule).alias("r"))).count("^<(?i:b)") == 1
 
 
 def test_ends_of_many_shapes(value_of):
