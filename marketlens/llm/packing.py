@@ -13,16 +13,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.tables import durable, end_of_task
+from marketlens.llm.tables import durable, task_scoped
 
 #: Tokens of the longest sequence, a power of two.
 LONGEST = 4096
 #: The id behind every document.
 END_ID = 2
-#: Words whose ids a task remembers before it starts afresh; only saves time.
+#: Words whose ids a worker remembers before it keeps those of the texts in hand; only saves time.
 REMEMBERED = 600_000
-#: Text that is tokenized at once, in UTF-8 bytes.
-TEXT_BYTES = 8 << 20
+#: New words that the library encodes in one call, which takes about a kilobyte a word meanwhile.
+LEARNED = 16_384
 #: A sign that is a token of its own between spaces; parts words that are encoded together.
 _PART = "\x1f"
 
@@ -76,42 +76,40 @@ class WordTokenizer:
             self.known[word] = raw[start:cut]
             start = cut + 4
 
-    def _remember(self, words: list[str]) -> None:
-        """Fill ``known`` for these distinct words."""
+    def _remember(self, new: list[str]) -> None:
+        """Add these distinct words to ``known``, which lacks them."""
         known = self.known
-        new = [w for w in words if w not in known]
-        odd = [w for w in new if "<|" in w or _PART in w]
-        if odd:
-            for word in odd:
-                known[word] = self._alone(word).tobytes()
+        every = " ".join(new)
+        if "<|" in every or _PART in every:
+            for word in new:
+                if "<|" in word or _PART in word:
+                    known[word] = self._alone(word).tobytes()
             new = [w for w in new if w not in known]
-        simple = [w for w in new if _SIMPLE.fullmatch(w)] if self.lowers else []
+        simple = list(filter(_SIMPLE.fullmatch, new)) if self.lowers else []
         if simple:
-            small = [w.lower() for w in simple]
-            lots = [w for w in set(small) if w not in known]
+            lows = list(map(str.lower, simple))
+            small = [w for w in set(lows) if w not in known]
             normalizer, self.tokenizer.normalizer = self.tokenizer.normalizer, None
             try:
-                for i in range(0, len(lots), 50_000):
-                    self._learn(lots[i : i + 50_000])
+                for i in range(0, len(small), LEARNED):
+                    self._learn(small[i : i + LEARNED])
             finally:
                 self.tokenizer.normalizer = normalizer
-            for word, low in zip(simple, small):
-                known[word] = known[low]
+            known.update(zip(simple, list(map(known.__getitem__, lows))))
             new = [w for w in new if w not in known]
-        for i in range(0, len(new), 50_000):
-            self._learn(new[i : i + 50_000])
+        for i in range(0, len(new), LEARNED):
+            self._learn(new[i : i + LEARNED])
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of every text.
 
         Words are cut and numbered by Arrow; only distinct words become Python objects, and the ids
         of all texts are put together by place.
         """
-        if not texts:
+        if not len(texts):
             return []
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        lists = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        lists = pc.ascii_split_whitespace(pc.fill_null(column, ""))
         coded = lists.values.dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         edges = lists.offsets.to_numpy()
@@ -119,8 +117,13 @@ class WordTokenizer:
         del lists, coded
         if "" in words:  # the piece before or behind outer white space
             self.known[""] = b""
-        self._remember(words)
-        entries = [self.known[w] for w in words]
+        entries = list(map(self.known.get, words))
+        new = [w for w, ids in zip(words, entries) if ids is None]
+        if new:
+            self._remember(new)
+            entries = list(map(self.known.__getitem__, words))
+        if len(self.known) > REMEMBERED:
+            self.known = dict(zip(words, entries))
         sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
         ids = np.frombuffer(b"".join(entries), "<u4")
         starts = np.cumsum(sizes) - sizes
@@ -141,7 +144,7 @@ def word_tokenizer(path: str) -> WordTokenizer:
     """The tokenizer of this Python worker, with the words it remembers.
 
     It outlives the task: loading the vocabulary and encoding the same words again in every task
-    takes about a quarter of the time. ``REMEMBERED`` bounds it, some 100 MB a worker.
+    takes about a quarter of the time. ``REMEMBERED`` bounds it.
     """
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordTokenizer(path)
@@ -167,7 +170,7 @@ def token_pieces(
     kind = documents.schema[key].dataType.simpleString()
     schema = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
 
-    def cut(keys: list, texts: list) -> pa.RecordBatch:
+    def cut(keys: list, texts: pa.Array) -> pa.RecordBatch:
         rows, starts, lengths, crcs, totals, ids = [], [], [], [], [], []
         for name, raw in zip(keys, word_tokenizer(vocabulary).encode(texts)):
             raw += END_ID.to_bytes(4, "little")
@@ -192,21 +195,11 @@ def token_pieces(
 
     key_type = to_arrow_type(documents.schema[key].dataType)
 
+    @task_scoped
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            for batch in batches:
-                keys, texts, held = [], [], 0
-                for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    keys.append(name)
-                    texts.append(body)
-                    held += len(body or "")
-                    if held > TEXT_BYTES:
-                        yield cut(keys, texts)
-                        keys, texts, held = [], [], 0
-                if keys:
-                    yield cut(keys, texts)
-        finally:
-            end_of_task()
+        for batch in batches:
+            if batch.num_rows:
+                yield cut(batch.column(0).to_pylist(), batch.column(1))
 
     return documents.select(key, text).mapInArrow(run, schema)
 

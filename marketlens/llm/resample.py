@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from marketlens.llm.labelled import LABELLED_ROWS, labelled_sample
-from marketlens.llm.tables import durable, end_of_task, filter_rows, map_columns, task_cache
+from marketlens.llm.tables import durable, end_of_task, filter_rows, lots, map_columns, task_cache
 
 #: Buckets of word unigrams and of word bigrams, and of shape trigrams.
 WORD_BUCKETS = 1 << 13
@@ -80,7 +80,7 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in lots(batches):
             waiting, held = [], 0
             for body in batch.column(0).to_pylist():
                 waiting.append(ngrams(body))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one or two numbers up to which a side of a join may be broadcast (some 16 MB).
 BROADCAST_ROWS = 1_000_000
+#: Arrow bytes of the rows that a map function turns into Python objects at once.
+LOT_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,12 +69,26 @@ def end_of_task() -> None:
         pass
 
 
+def lots(batches: Iterator[pa.RecordBatch], most: int = LOT_BYTES) -> Iterator[pa.RecordBatch]:
+    """All rows in their order, in slices of at most ``most`` bytes or of one row.
+
+    A batch has 10,000 rows unless the session says otherwise, so its texts as Python objects, and
+    what is made of them, would take many times the memory of a slice.
+    """
+    for batch in batches:
+        rows = batch.num_rows
+        if rows > 1 and batch.nbytes > most:
+            yield from lots(iter((batch.slice(0, rows // 2), batch.slice(rows // 2))), most)
+        else:
+            yield batch
+
+
 def task_scoped(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """A map function over Arrow batches that calls ``end_of_task`` when it ends."""
+    """A map function over ``lots`` of Arrow batches that calls ``end_of_task`` when it ends."""
 
     def scoped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(lots(batches))
         finally:
             end_of_task()
 
@@ -109,7 +125,7 @@ def filter_rows(frame: DataFrame, columns: list[str], keep: Callable[..., list[b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            for batch in batches:
+            for batch in lots(batches):
                 mask = keep(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns))
                 yield batch.filter(pa.array(mask, pa.bool_()))
         finally:
