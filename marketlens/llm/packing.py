@@ -26,7 +26,6 @@ LEARNED = 16_384
 #: A sign that is a token of its own between spaces; parts words that are encoded together.
 _PART = "\x1f"
 
-
 #: The normalizer whose work on words of printable ASCII and Latin-1 letters is lower-casing alone.
 _LOWERS = {
     "type": "Sequence",
@@ -36,9 +35,34 @@ _LOWERS = {
         {"type": "Lowercase"},
     ],
 }
+#: The pre-tokenizer that parts letters and digits from signs behind them, whatever comes before.
+_CUTS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: Words of characters that are in composed form, no white space and whose small letters are one
 #: character, the same in every Unicode version.
-_SIMPLE = re.compile("[!-~\u00a1-\u00ff]+")
+_SIMPLE = "^[!-~\u00a1-\u00ff]+$"
+#: Those of these characters that are neither letters nor numbers.
+_SIGNS = "".join(c for c in map(chr, (*range(0x21, 0x7F), *range(0xA1, 0x100))) if not c.isalnum())
+#: Words of small letters alone among them.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of spans of these starts and sizes, one span behind the other."""
+    # a batch has far fewer than 2**31 ids, and half the width saves memory
+    at = np.repeat((starts - np.cumsum(sizes) + sizes).astype(np.int32), sizes)
+    at += np.arange(len(at), dtype=np.int32)
+    return at
 
 
 class WordTokenizer:
@@ -47,24 +71,46 @@ class WordTokenizer:
     A text is cut at ASCII white space, which such a tokenizer drops, and each distinct word is
     encoded once; words that are new are encoded together, parted by a sign. Words that hold the
     sign or a piece of a special token are encoded alone. Under the usual normalizer (``_LOWERS``)
-    simple words are lower-cased first and meet the same tokenizer without its normalizer, so two
-    spellings of a word are encoded once.
+    and pre-tokenizer (``_CUTS``) simple words are lower-cased first and the signs behind a word are
+    words of their own, so all spellings of a word are encoded once. New words of letters alone then
+    meet the same model parted by white space only.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.part = np.uint32(self._alone(f"a {_PART} a")[1])
         self.known: dict[str, bytes] = {}
-        normalizer = self.tokenizer.normalizer
-        self.lowers = normalizer is not None and json.loads(normalizer.__getstate__()) == _LOWERS
+        steps = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
+        end = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.usual = bool(end) and [x and json.loads(x.__getstate__()) for x in steps] == [_LOWERS, _CUTS]
+        if self.usual:
+            self.letters = Tokenizer(self.tokenizer.model)
+            self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+            )
+            ids = self.letters.get_vocab()
+            #: Whether an id ends a word; words of letters hold no such ending themselves.
+            self.ends = np.zeros(max(ids.values()) + 1, bool)
+            self.ends[[i for token, i in ids.items() if token.endswith(end)]] = True
 
     def _alone(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, words: list[str]) -> None:
-        """Remember the ids of words that hold neither the sign nor a piece of a special token."""
+        """Remember the ids of words that hold neither the sign nor a piece of a special token.
+
+        All are words of small letters, or none is.
+        """
+        if self.usual and _LETTERS.fullmatch(words[0]):
+            made = self.letters.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
+            ids = np.array(made.ids, "<u4")
+            cuts = 4 * np.flatnonzero(self.ends[ids]) + 4
+            if len(cuts) == len(words):
+                raw, cuts = ids.tobytes(), [0, *cuts.tolist()]
+                self.known.update(zip(words, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+                return
         ids = self._alone(f" {_PART} ".join(words))
         cuts = np.flatnonzero(ids == self.part)
         if len(cuts) != len(words) - 1:  # never seen; encodes them one by one
@@ -85,55 +131,61 @@ class WordTokenizer:
                 if "<|" in word or _PART in word:
                     known[word] = self._alone(word).tobytes()
             new = [w for w in new if w not in known]
-        simple = list(filter(_SIMPLE.fullmatch, new)) if self.lowers else []
-        if simple:
-            lows = list(map(str.lower, simple))
-            small = [w for w in set(lows) if w not in known]
-            normalizer, self.tokenizer.normalizer = self.tokenizer.normalizer, None
-            try:
-                for i in range(0, len(small), LEARNED):
-                    self._learn(small[i : i + LEARNED])
-            finally:
-                self.tokenizer.normalizer = normalizer
-            known.update(zip(simple, list(map(known.__getitem__, lows))))
-            new = [w for w in new if w not in known]
-        for i in range(0, len(new), LEARNED):
-            self._learn(new[i : i + LEARNED])
+        letters = list(filter(_LETTERS.fullmatch, new))
+        if letters:
+            new = [w for w in new if not _LETTERS.fullmatch(w)]
+        for words in (letters, new):
+            for i in range(0, len(words), LEARNED):
+                self._learn(words[i : i + LEARNED])
+
+    def _stems(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Every word without the signs behind it, in small letters, and these signs.
+
+        A word that isn't simple or holds a piece of a special token stays as it is.
+        """
+        if not self.usual:
+            return words, pa.repeat(pa.scalar("", words.type), len(words))
+        simple = pc.and_not(pc.match_substring_regex(words, _SIMPLE), pc.match_substring(words, "<|"))
+        stems = pc.if_else(simple, pc.utf8_rtrim(pc.utf8_lower(words), _SIGNS), words)
+        # lower-casing keeps the length of a simple word in bytes
+        sizes = (pc.binary_length(words).to_numpy() - pc.binary_length(stems).to_numpy()).astype(np.int64)
+        ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset + 1 :][: len(words)]
+        signs = np.frombuffer(words.buffers()[2] or b"", np.uint8)[_spans(ends - sizes, sizes)]
+        cuts = pa.py_buffer(np.concatenate(([0], np.cumsum(sizes))))
+        return stems, pa.Array.from_buffers(words.type, len(words), [None, cuts, pa.py_buffer(signs)])
 
     def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of every text.
 
-        Words are cut and numbered by Arrow; only distinct words become Python objects, and the ids
-        of all texts are put together by place.
+        Words are cut and numbered by Arrow, and so are their stems and the signs behind them; only
+        these become Python objects, and the ids of all texts are put together by place.
         """
         if not len(texts):
             return []
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         lists = pc.ascii_split_whitespace(pc.fill_null(column, ""))
         coded = lists.values.dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         edges = lists.offsets.to_numpy()
         word = coded.indices.to_numpy()
+        parts = pa.concat_arrays(self._stems(coded.dictionary.cast(pa.large_string()))).dictionary_encode()
         del lists, coded
-        if "" in words:  # the piece before or behind outer white space
-            self.known[""] = b""
+        words = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
         entries = list(map(self.known.get, words))
-        new = [w for w, ids in zip(words, entries) if ids is None]
-        if new:
-            self._remember(new)
-            entries = list(map(self.known.__getitem__, words))
+        new = [i for i, ids in enumerate(entries) if ids is None]
+        if new:  # the empty part, as behind a word without signs, has no ids
+            self._remember([words[i] for i in new if words[i]])
+            for i in new:
+                entries[i] = self.known.get(words[i], b"")
         if len(self.known) > REMEMBERED:
-            self.known = dict(zip(words, entries))
+            self.known = {w: ids for w, ids in zip(words, entries) if w}
         sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
         ids = np.frombuffer(b"".join(entries), "<u4")
-        starts = np.cumsum(sizes) - sizes
-        size = sizes[word]
-        ends = np.cumsum(size)
-        # a batch has far fewer than 2**31 ids, and half the width saves memory
-        at = np.repeat((starts[word] - ends + size).astype(np.int32), size)
-        at += np.arange(len(at), dtype=np.int32)
-        raw = ids[at].tobytes()
-        cuts = (4 * np.concatenate(([0], ends))[edges]).tolist()
+        part = parts.indices.to_numpy().reshape(2, -1).T.ravel()  # a word's stem, then its signs
+        ids = ids[_spans((np.cumsum(sizes) - sizes)[part], sizes[part])]
+        sizes = sizes[part].reshape(-1, 2).sum(axis=1)
+        starts, size = np.cumsum(sizes) - sizes, sizes[word]
+        raw = ids[_spans(starts[word], size)].tobytes()
+        cuts = (4 * np.concatenate(([0], np.cumsum(size)))[edges]).tolist()
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
 

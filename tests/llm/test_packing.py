@@ -35,6 +35,41 @@ def test_spellings_of_a_word_are_encoded_once(monkeypatch):
     assert sorted(learned) == ["ciónuear", "gaarue"]
 
 
+def test_a_word_is_encoded_once_whatever_signs_follow(monkeypatch):
+    words, learned = packing.WordTokenizer(vocabulary()), []
+    learn = words._learn
+    monkeypatch.setattr(words, "_learn", lambda lot: (learned.extend(lot), learn(lot)))
+    words.encode(["gaarue, Gaarue. GAARUE!! gaarue", "ciónuear… (gaarue), w3, W3. <|gaarue|>", "Ciónuear» ciónuear,"])
+    assert sorted(learned) == sorted(["gaarue", ",", ".", "!!", "ciónuear…", "(gaarue", "),", "w3", "ciónuear", "»"])
+    assert "<|gaarue|>" in words.known and "" not in words.known
+
+
+def test_signs_behind_words_keep_the_librarys_ids():
+    signs = [*map(chr, range(0x21, 0x180)), "\u0301", "\u0307", "\u030a", "\u0338", "\u00ad", "…", "’", "<|endoftext|>"]
+    texts = [
+        " ".join(f"{a}{c}{b}" for a in ("W", "i", "É", "7", "²", "don't", "x»", "'", "") for b in ("", ",", "'s", "'", "×!", "I"))
+        for c in signs
+    ]
+    words = packing.WordTokenizer(vocabulary())
+    made = words.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert words.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in made]
+
+
+def test_another_tokenizer_gets_whole_words(tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(vocabulary())
+    other.normalizer = None
+    other.save(path := str(tmp_path / "other.json"))
+    words, learned = packing.WordTokenizer(path), []
+    learn = words._learn
+    monkeypatch.setattr(words, "_learn", lambda lot: (learned.extend(lot), learn(lot)))
+    texts = ["gaarue, Gaarue. gaarue", "<|endoftext|>x, École"]
+    made = other.encode_batch_fast(texts, add_special_tokens=False)
+    assert words.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in made]
+    assert sorted(learned) == sorted(["gaarue,", "Gaarue.", "gaarue", "École"])
+
+
 def test_the_workers_tokenizer_outlives_a_task():
     first = packing.word_tokenizer(vocabulary())
     first.encode(["gaarue"])
